@@ -1,0 +1 @@
+"""Empty on purpose: the engine's scope has finite scans only, no unbounded source."""
