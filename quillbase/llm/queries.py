@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, quality_rules, secret_scan
+from . import byte_bpe, mixing, neardup, quality_rules, secret_scan
 
 QUERIES = {
     "op6_near_duplicates": neardup.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_secret_scans": secret_scan.op8,
     "op9_mixing": mixing.op9,
+    "op10_byte_bpe": byte_bpe.op10,
 }
 ORACLES = {"op9_mixing": mixing.ORACLE}
