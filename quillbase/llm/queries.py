@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mixing, neardup, quality_rules, secret_scan
+from . import byte_bpe, mixing, neardup, quality_rules, secret_scan, token_count
 
 QUERIES = {
+    "op4_token_counts": token_count.op4,
     "op6_near_duplicates": neardup.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_secret_scans": secret_scan.op8,
