@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, mixing, neardup, quality_rules, secret_scan, token_count
+from . import byte_bpe, langid, mixing, neardup, quality_cnn, quality_rules, secret_scan, token_count, toxicity
 
 QUERIES = {
+    "op1_quality_cnn": quality_cnn.op1,
+    "op3_toxicity": toxicity.op3,
     "op4_token_counts": token_count.op4,
+    "op5_language": langid.op5,
     "op6_near_duplicates": neardup.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_secret_scans": secret_scan.op8,
