@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, langid, mixing, neardup, quality_cnn, quality_rules, secret_scan, token_count, toxicity
+from . import byte_bpe, fingerprints, langid, mixing, neardup, quality_cnn, quality_rules, secret_scan, token_count, toxicity
 
 QUERIES = {
     "op1_quality_cnn": quality_cnn.op1,
+    "op2_fingerprints": fingerprints.op2,
     "op3_toxicity": toxicity.op3,
     "op4_token_counts": token_count.op4,
     "op5_language": langid.op5,
