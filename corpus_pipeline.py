@@ -1,33 +1,81 @@
-"""The corpus pipeline: STAGES applied to documents, each one's output settled for the next."""
+"""The corpus pipeline: STAGES applied to documents, each one's output settled for the next.
+
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillbase.llm import byte_bpe, common, mixing, neardup, secret_scan
+from quillbase.llm import toxicity as toxic
+
+#: From this score on a document is rejected.
+TOXIC = 0.7
+#: Percent of common five-word shingles from which documents are near duplicates.
+SIMILAR = 80
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, rejects go."""
+    common.prepare(spark)
+    model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = common.fresh(docs, "_toxicity")
+    return toxic.toxicity(docs, model, out=score).where(F.col(score) < TOXIC).select(*docs.columns)
 
-from quillbase.llm import common, mixing, secret_scan
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays.
+
+    Rows of one id are one document; rows without an id stay. The ids that go are
+    broadcast if they are few, else joined by a shuffle.
+    """
+    found = neardup.near_duplicates(docs, percent=SIMILAR)
+    gone = common.settle(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(common.small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; what a scan finds is replaced by a mark."""
-    found = secret_scan.secret_spans(docs, out="_secrets")
-    return found.withColumn("text", secret_scan.redacted(found["text"], found["_secrets"])).select(*docs.columns)
+    """Every document stays; each span that a scan finds is replaced by a mark, and n_chars follows."""
+    spans = common.fresh(docs, "_secrets")
+    found = secret_scan.secret_spans(docs, out=spans)
+    found = found.withColumn("text", secret_scan.redacted(found["text"], found[spans]))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's budget takes it."""
+    """Each document as often (0, 1 or 2 times) as its source's budget takes it."""
     return mixing.mixed(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with token_ids in place of text, n_tokens, and whether the
+    ids decode to the bytes of the text again."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rows = byte_bpe.bpe_encode(rows, path, public_tokenizers.PATTERN, keep_text=False)
+    rows = byte_bpe.bpe_decode(rows, path, out="_bytes")
+    same = (F.sha2("_bytes", 256) == F.col("_sha")).alias("round_trip")
+    return rows.select(*[c for c in docs.columns if c != "text"], "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same)
+
+
 STAGES = [
+    ("toxicity", toxicity),
+    ("near-dedup", near_dedup),
     ("secret scans", secrets),
     ("mixing", mix),
+    ("byte-level BPE", encode),
 ]
 
-#: Tokens, learned scores and sketches are beyond SQL: tests hold the stages against brute force.
+#: Learned scores, sketches and tokens are beyond SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
