@@ -23,6 +23,8 @@ from . import common, kernels
 LENGTHS = (4, 6, 8)
 #: Labelled rows to learn from at most (those of the smallest hash), and features kept.
 SAMPLE, FEATURES = 8000, 4096
+#: Standard errors that a feature's rates in the two classes must be apart: keeps chance out of small samples.
+APART = 2.0
 FILTER_BITS = 22
 U = np.uint64
 
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
     # How far the rates are apart, in standard errors of their difference.
     apart = F.abs(p - q) / F.sqrt(p * (1 - p) / (pos + 2) + q * (1 - q) / (n - pos + 2))
     best = counts.where("pos + neg >= 3").withColumns({"ratio": F.log(p) - F.log(q), "apart": apart})
-    best = best.orderBy(F.desc("apart"), "gram").limit(FEATURES).select("gram", "ratio").toPandas()
+    best = best.where(F.col("apart") >= APART).orderBy(F.desc("apart"), "gram").limit(FEATURES).select("gram", "ratio").toPandas()
     keys, ratio = best["gram"].to_numpy(np.int64).view(np.uint64), best["ratio"].to_numpy(float)
     order = np.argsort(keys)
     model = Model(keys[order], ratio[order], 0.0)
