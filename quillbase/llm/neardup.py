@@ -9,8 +9,12 @@
    a candidate with its pivot: never all pairs of a bucket.
 4. Candidates whose sketches agree are confirmed on the full sets. Confirmed links
    give components; candidates within a component need no test.
-5. Members of one bucket that are still in different components are tested with
-   each other, so that no link which shares a bucket is lost.
+5. Members of one bucket may still be in different components. Of these documents,
+   each lists its shingles that another one has too, rarest first. Two documents that
+   reach the threshold share a shingle so early in both lists that enough of either
+   list is left for their intersection. Each is tested with the most central document of
+   its early shingles first; the pairs that are left between components are confirmed
+   last. So no link that shares a bucket is lost, and no bucket's pairs are all made.
 
 With ``bands`` chosen for a miss rate at the threshold, a link escapes all buckets
 with at most that probability.
@@ -141,7 +145,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> Data
     A node p with many partners has its set copied to as many places as there are
     hundreds of them, so that no task gathers all of a hub's pairs.
     """
-    nodes = common.settle(pairs.select(F.explode(F.array("x", "p")).alias("node")).distinct())
+    nodes = common.settle(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct())
     texts = docs.join(common.small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
     sets = common.settle(texts.mapInArrow(_sets(width), "node long, set array<long>"))
     spread = pairs.groupBy("p").agg(F.ceil(F.count("*") / 100).cast("int").alias("places"))
@@ -185,6 +189,78 @@ def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("_x <> _p").drop("_x", "_p")
 
 
+def _mixed(own: DataFrame, key: str) -> DataFrame:
+    """The rows (key, root, ...) of keys that occur in more than one component."""
+    ends = own.groupBy(key).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(key)
+    return own.join(ends, key)
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.greatest(a, b).alias("x"), F.least(a, b).alias("p")]
+
+
+def _enough(shared: Column, sizes: Column, percent: int) -> Column:
+    """Whether sets of ``sizes`` elements in all can be linked with ``shared`` of them in common."""
+    return (100 + percent) * shared >= percent * sizes
+
+
+def _lists(docs: DataFrame, own: DataFrame, percent: int, width: int) -> DataFrame:
+    """Of each document of ``own`` (rep, root, sketch) its shingles that another one has too, rarest first.
+
+    Rows (node, n, size, shingle, left, root, sketch): ``left`` of the ``size`` listed
+    shingles are at this one and behind it. Rows with too little left for any partner go
+    (the least one allowed has ``percent`` of a document's size), and shingles of a single
+    component.
+    """
+    texts = docs.join(common.small(own.select("rep").distinct()), F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = common.settle(texts.mapInArrow(_sets(width), "node long, set array<long>"))
+    each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    both = each.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
+    lists = each.join(both, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("list"))
+    lists = lists.select("node", "n", F.posexplode("list").alias("at", "item"), F.size("list").alias("size"))
+    lists = lists.select("node", "n", "size", F.col("item.shingle").alias("shingle"), (F.col("size") - F.col("at")).alias("left"))
+    lists = lists.where(_enough(F.col("left"), F.col("n") + F.ceil(F.col("n") * percent / 100), percent))
+    lists = common.settle(lists.join(own, F.col("node") == F.col("rep")).drop("rep"))
+    return common.settle(_mixed(lists, "shingle"))
+
+
+def _renamed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    new = lists.drop("root").join(roots, F.col("node") == F.col("u"), "left")
+    return new.withColumn("root", F.coalesce("v", "node")).drop("u", "v")
+
+
+_END = ("node", "root", "n", "left", "sketch")
+
+
+def _possible(percent: int, flips: int) -> Column:
+    """Whether ends _x and _p may be linked: sizes, the shingles left behind a common one, and sketches allow it.
+
+    All common shingles of a pair are at its first common one or behind it in both
+    lists, so the less of both ``left`` there bounds the intersection.
+    """
+    enough = _enough(F.least("left_x", "left_p"), F.col("n_x") + F.col("n_p"), percent)
+    return _sizes_allow("n_x", "n_p", percent) & enough & (_flips("sketch_x", "sketch_p") <= flips)
+
+
+def _central(lists: DataFrame, percent: int, flips: int) -> DataFrame:
+    """Pairs (x, p) of each document and two others of each of its shingles: the one that
+    shares most of its own, and one by hash. At most two a list entry."""
+    every = F.struct(*_END)
+    most = F.max_by(every, F.struct(F.col("size") / F.col("n"), F.xxhash64("node")))
+    any_ = F.max_by(every, F.xxhash64("node", "shingle"))
+    pivots = lists.groupBy("shingle").agg(F.array(most, any_).alias("p")).select("shingle", F.explode("p").alias("p"))
+    pivots = pivots.select("shingle", *[F.col(f"p.{c}").alias(f"{c}_p") for c in _END])
+    pairs = lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in _END]).join(pivots, "shingle")
+    return pairs.where((F.col("root_x") != F.col("root_p")) & _possible(percent, flips)).select(*_ordered("node_x", "node_p")).distinct()
+
+
+def _meetings(lists: DataFrame, percent: int, flips: int) -> DataFrame:
+    """Pairs (x, p, root_x, root_p, flips) of different components that a shingle rare enough leads to."""
+    a, b = (lists.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in _END]) for end in ("x", "p"))
+    pairs = a.join(b, "shingle").where((F.col("root_x") < F.col("root_p")) & _possible(percent, flips))
+    return pairs.select(*_ordered("node_x", "node_p"), "root_x", "root_p", _flips("sketch_x", "sketch_p").alias("flips")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
@@ -222,16 +298,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id:
         roots = components(_union(roots, confirm(docs, rest, percent, width)))
 
     own = hot.join(roots, F.col("rep") == F.col("u"), "left").select("bucket", "rep", F.coalesce("v", "rep").alias("root"))
-    own = common.settle(own)
-    open_ = own.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-    open_ = own.join(open_, "bucket").join(sketches, "rep")
-    left, right = (open_.select("bucket", *[F.col(c).alias(f"{c}_{end}") for c in ("rep", "root", "n", "sketch")]) for end in ("x", "p"))
-    met = left.join(right, "bucket").where((F.col("root_x") < F.col("root_p")) & _sizes_allow("n_x", "n_p", percent) & (_flips("sketch_x", "sketch_p") <= flips))
-    met = met.select(F.greatest("rep_x", "rep_p").alias("x"), F.least("rep_x", "rep_p").alias("p")).distinct()
-    tried = star.select(F.greatest("x", "p").alias("x"), F.least("x", "p").alias("p"))
-    met = common.settle(met.join(tried, ["x", "p"], "left_anti"))
-    if not met.isEmpty():
-        roots = components(_union(roots, confirm(docs, met, percent, width)))
+    open_ = common.settle(_mixed(common.settle(own), "bucket").select("rep", "root").distinct())
+    if not open_.isEmpty():
+        tried = star.select(*_ordered("x", "p"))
+        lists = _lists(docs, open_.join(sketches.drop("n"), "rep"), percent, width)
+        central = common.settle(_central(lists, percent, flips).join(tried, ["x", "p"], "left_anti"))
+        if not central.isEmpty():
+            roots = components(_union(roots, confirm(docs, central, percent, width)))
+            lists = _mixed(common.settle(_renamed(lists, roots)), "shingle")
+            tried = tried.union(central)
+        met = common.settle(_meetings(lists, percent, flips).join(tried, ["x", "p"], "left_anti"))
+        # One pair of two components may join them: the likeliest first, then what still crosses.
+        first = common.settle(met.groupBy("root_x", "root_p").agg(F.min_by(F.struct("x", "p"), F.struct("flips", "x", "p")).alias("e")).select("e.x", "e.p"))
+        if not first.isEmpty():
+            roots = components(_union(roots, confirm(docs, first, percent, width)))
+            rest = common.settle(_crossing(met.select("x", "p").join(first, ["x", "p"], "left_anti"), roots))
+            if not rest.isEmpty():
+                roots = components(_union(roots, confirm(docs, rest, percent, width)))
 
     named = classes.select("hi", "lo", "rep").join(roots, F.col("rep") == F.col("u"), "left")
     named = named.select("hi", "lo", F.coalesce("v", "rep").alias("root"))
@@ -247,3 +330,19 @@ def _union(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+
+
+#: Exact sets and all pairs that share a shingle: for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, y FROM r JOIN both_ways ON x = seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS c FROM r GROUP BY doc_id) AS m USING (doc_id)
+"""
