@@ -16,4 +16,4 @@ QUERIES = {
     "op9_mixing": mixing.op9,
     "op10_byte_bpe": byte_bpe.op10,
 }
-ORACLES = {"op9_mixing": mixing.ORACLE}
+ORACLES = {"op6_near_duplicates": neardup.ORACLE, "op8_secret_scans": secret_scan.ORACLE, "op9_mixing": mixing.ORACLE}

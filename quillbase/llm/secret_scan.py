@@ -150,3 +150,40 @@ def op8(spark, sf_dir: str) -> DataFrame:
     n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = listed(F.filter("secrets", lambda s: s["kind"] != "entropy"))
     return rows.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def _oracle() -> str:
+    """The query in the oracle's SQL. It has no lookaround, so runs are cut first and tested after."""
+    pattern = {
+        "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        "access": "AKIA[A-Z0-9]+",
+        "hex": "[0-9a-f]+",
+        "entropy": "[A-Za-z0-9+/_=-]{20,}",
+    }
+    least = {name: n for name, _, _, n in KINDS} | {"entropy": WINDOW}
+    parts = []
+    for rank, (name, p) in enumerate(pattern.items()):
+        group = 2 if name == "assign" else 0
+        parts.append(f"""
+  SELECT doc_id, {rank} AS rank, '{name}' AS kind, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) AS a,
+         hits[i] AS hit, bodies[i] AS body
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {group}) AS bodies, regexp_split_to_array(text, '{p}') AS gaps FROM d))
+  WHERE length(bodies[i]) >= {least[name]}""")
+    bar = "CASE " + " ".join(f"WHEN regexp_matches(body, '{p}') THEN {bits}" for _, p, bits in BARS) + " END"
+    windows = f"list_max(list_transform(range(1, length(body) - {WINDOW} + 2), lambda j: list_aggregate(string_split(substr(body, j, {WINDOW}), ''), 'entropy')))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+every AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT doc_id, rank, kind, CAST(a AS BIGINT) AS a, CAST(a + length(hit) AS BIGINT) AS b, body FROM every),
+runs AS (SELECT * FROM s WHERE kind = 'entropy' AND regexp_matches(body, '^[A-Za-z+/_=-]{{0,200}}[0-9]') AND regexp_matches(body, '[A-Za-z]') AND NOT regexp_matches(body, '{ALLOWED}')),
+odd AS (SELECT * FROM runs WHERE {windows} >= {bar} AND NOT EXISTS (SELECT 1 FROM s AS o WHERE o.doc_id = runs.doc_id AND o.kind <> 'entropy' AND o.a < runs.b AND runs.a < o.b)),
+spans AS (SELECT doc_id, rank, kind, a, b FROM s WHERE kind <> 'entropy' UNION ALL SELECT doc_id, rank, kind, a, b FROM odd),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'entropy') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans
+      FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+ORACLE = _oracle()
