@@ -85,8 +85,8 @@ def probabilities(net: Network, data: np.ndarray, ends: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(mean, -40, 40)))
 
 
-def train(chunks: list[np.ndarray], owner: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 48) -> Network:
-    """Fit by Adam on the documents' mean chunk logits. ``chunks``: byte arrays, padded."""
+def train(chunks: list[np.ndarray], owner: np.ndarray, y: np.ndarray, steps: int = 640, batch: int = 48) -> Network:
+    """Fit by about ``steps`` of Adam, at most 100 passes, on the documents' mean chunk logits. ``chunks``: byte arrays, padded."""
     rng = np.random.default_rng(3)
     if len(np.unique(y)) < 2:
         return constant(float(y.mean()) if len(y) else 0.5)
@@ -94,6 +94,7 @@ def train(chunks: list[np.ndarray], owner: np.ndarray, y: np.ndarray, epochs: in
     params = [net.filters, net.offset, net.weights, np.zeros(1, np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     of = [np.flatnonzero(owner == d) for d in range(len(y))]
+    epochs = min(100, -(-steps * batch // len(y)))
     t = 0
     for epoch in range(epochs):
         order = rng.permutation(len(y))
