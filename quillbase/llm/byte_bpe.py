@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Text bytes handled at a time, and words a worker remembers.
-SLICE_BYTES, CACHE_WORDS = 4 << 20, 400_000
+SLICE_BYTES, CACHE_WORDS = 2 << 20, 200_000
 _NONE = np.int64(1 << 40)
 
 

@@ -23,6 +23,8 @@ from . import common, kernels
 LENGTHS = (4, 6, 8)
 #: Labelled rows to learn from at most (those of the smallest hash), and features kept.
 SAMPLE, FEATURES = 8000, 4096
+#: Tasks that count the sample's n-grams: a few hundred documents each.
+TASKS = 32
 #: Standard errors that a feature's rates in the two classes must be apart: keeps chance out of small samples.
 APART = 2.0
 FILTER_BITS = 22
@@ -89,7 +91,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, ends = common.utf8(batch.column(0))
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, j in common.slices(ends, 2 << 20):
+        for i, j in common.slices(ends, 1 << 19):
             keys, bounds = present(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
             yes = np.repeat(toxic[i:j], np.diff(bounds))
             both, back = np.unique(keys, return_inverse=True)
@@ -116,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
     """
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IS NOT NULL AND id IS NOT NULL")
     marked = marked.where(common.crc_fold(F.col("id"), folds) != left_out).orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
-    rows = common.settle(docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("id")).select("text", "toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("id")).select("text", "toxic")
+    rows = common.settle(rows.repartition(TASKS))
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     n, pos = total["n"], total["pos"]
     if pos in (0, n):
