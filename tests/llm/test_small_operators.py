@@ -117,6 +117,15 @@ def test_entropy_spans(spark):
     assert got == {0: ["entropy"], **{k: [] for k in range(1, 7)}, 7: ["assign"]}
 
 
+def test_base64_keys_with_slashes(spark):
+    rng = np.random.default_rng(17)
+    digits = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+"), n)) for n in (40, 64, 88, 344, 1600, 3000)]
+    keys = ["/" + d[1:] for d in digits] + [d[:9] + "//" + d[11:] for d in digits] + ["/".join((d[:8], d[9:17], d[18:26], d[27:])).replace("+", "0") for d in digits]
+    paths = ["/usr/local/lib/python3/site-packages/MyModule", "//www/blog/2024/05/some-post-name-here", "com/acme/HttpServer2/src/main/java"]
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secret_scan.secret_spans(docs(spark, list(enumerate(keys + paths)))).collect()}
+    assert got == {k: [(0, 3, len(t), "entropy")] if t in keys else [] for k, t in enumerate(keys + paths)}
+
+
 def test_redaction(spark):
     frame = docs(spark, [(0, "é token=abcdefghijkl0123456789abcdef end"), (1, "clean"), (2, None)])
     found = secret_scan.secret_spans(frame)
