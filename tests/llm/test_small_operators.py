@@ -126,6 +126,12 @@ def test_base64_keys_with_slashes(spark):
     assert got == {k: [(0, 3, len(t), "entropy")] if t in keys else [] for k, t in enumerate(keys + paths)}
 
 
+def test_first_digit_far_inside(spark):
+    texts = [f"a {pad * n}Zk8Qw3Rt7Lm2Nv5Xp9Ys b" for pad, n in (("_", 150), ("_", 250), ("A", 240), ("-", 100_000))] + ["q" * 300]
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secret_scan.secret_spans(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {k: [(2, 3, len(t) - 2, "entropy")] if k < 4 else [] for k, t in enumerate(texts)}
+
+
 def test_redaction(spark):
     frame = docs(spark, [(0, "é token=abcdefghijkl0123456789abcdef end"), (1, "clean"), (2, None)])
     found = secret_scan.secret_spans(frame)
