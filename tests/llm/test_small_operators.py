@@ -132,6 +132,14 @@ def test_first_digit_far_inside(spark):
     assert got == {k: [(2, 3, len(t) - 2, "entropy")] if k < 4 else [] for k, t in enumerate(texts)}
 
 
+def test_run_beyond_base_spans(spark):
+    texts = ["a sk-9f86d081884c7d65-Zk8Qw3Rt7Lm2Nv5Xp9Ys b", "a Zk8Qw3Rt7Lm2-9f86d081884c7d65 b", "a 9f86d081884c7d65Qw3Rt7Lm2 b", "a token=9f86d081884c7d65Zk8Qw3 b"]
+    found = secret_scan.secret_spans(docs(spark, list(enumerate(texts))))
+    got = {r.doc_id: (r.spans, r.text) for r in found.select("doc_id", secret_scan.listed(found["secrets"]).alias("spans"), secret_scan.redacted(found["text"], found["secrets"], "#").alias("text")).collect()}
+    want = ["entropy:2:42,hex:5:21", "entropy:2:31,hex:15:31", "hex:2:18,entropy:2:27", "assign:2:30,hex:8:24"]
+    assert got == {k: (spans, "a # b") for k, spans in enumerate(want)}
+
+
 def test_redaction(spark):
     frame = docs(spark, [(0, "é token=abcdefghijkl0123456789abcdef end"), (1, "clean"), (2, None)])
     found = secret_scan.secret_spans(frame)
