@@ -14,10 +14,11 @@
    reach the threshold share a shingle so early in both lists that enough of either
    list is left for their intersection. Each is tested with the most central document of
    its early shingles first; the pairs that are left between components are confirmed
-   last. So no link that shares a bucket is lost, and no bucket's pairs are all made.
+   last. So no link that shares a bucket is lost but by its sketches, and no bucket's
+   pairs are all made.
 
-With ``bands`` chosen for a miss rate at the threshold, a link escapes all buckets
-with at most that probability.
+A pair at the threshold or above escapes all buckets with probability MISS at most, and
+its sketches reject it with probability MISS at most: a link is lost with at most twice that.
 """
 
 from __future__ import annotations
@@ -35,19 +36,29 @@ from . import common, kernels
 ROWS_PER_BAND = 5
 SKETCH_BITS = 512
 WORDS = SKETCH_BITS // 64
-#: Similarity below the threshold at which a sketch estimate still leads to a full test: over four standard deviations.
-MARGIN = 0.15
+#: Probability with which a pair at the threshold escapes all buckets, and with which its sketches reject it.
+MISS = 1e-6
 
 
-def band_count(percent: int, miss: float = 1e-6) -> int:
+def band_count(percent: int, miss: float = MISS) -> int:
     """Bands with which a pair at the threshold shares no bucket with probability ``miss`` or less."""
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** ROWS_PER_BAND))
 
 
-def most_flips(percent: int, samples: int) -> int:
-    """The XOR population count that stands for the threshold less MARGIN."""
-    differing = 2 * samples * (1 - percent / 100 + MARGIN)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differing / SKETCH_BITS)))
+def most_flips(percent: int, samples: int, miss: float = MISS) -> int:
+    """The XOR population count that a pair at the threshold exceeds with probability ``miss`` or less.
+
+    Each sample differs with the same probability, and each that does flips two bits.
+    """
+    apart, bits = 1 - percent / 100, np.arange(SKETCH_BITS + 1)
+    odd, total = (bits == 0).astype(float), np.zeros(SKETCH_BITS + 1)
+    for k in range(samples + 1):
+        ways = math.lgamma(samples + 1) - math.lgamma(k + 1) - math.lgamma(samples - k + 1)
+        total += math.exp(ways + k * math.log(apart) + (samples - k) * math.log(1 - apart)) * odd
+        for _ in range(2):
+            odd = np.append(0, (odd * (SKETCH_BITS - bits))[:-1] / SKETCH_BITS) + np.append((odd * bits)[1:] / SKETCH_BITS, 0)
+    beyond = np.append(np.cumsum(total[::-1])[::-1], 0)
+    return int(np.flatnonzero(beyond[1:] <= miss)[0])
 
 
 def estimate(flips: float, samples: int) -> float:

@@ -130,6 +130,20 @@ def test_components(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_reject_links_no_oftener_than_bands(percent):
+    samples, n = neardup.band_count(percent) * neardup.ROWS_PER_BAND, 1_000_000
+    rng = np.random.default_rng(23)
+    rejected = 0
+    for _ in range(n // 50_000):
+        apart = rng.binomial(samples, 1 - percent / 100, 50_000)
+        worst = np.flatnonzero(2 * apart > neardup.most_flips(percent, samples))  # others can't flip as many bits
+        owner = np.repeat(np.arange(len(worst)), 2 * apart[worst])
+        flat = np.bincount(owner * neardup.SKETCH_BITS + rng.integers(0, neardup.SKETCH_BITS, len(owner)), minlength=len(worst) * neardup.SKETCH_BITS)
+        rejected += ((flat & 1).reshape(len(worst), neardup.SKETCH_BITS).sum(axis=1) > neardup.most_flips(percent, samples)).sum()
+    assert rejected <= 8  # one expected
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(0)
     bands = neardup.band_count(85)
