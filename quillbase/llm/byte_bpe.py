@@ -240,7 +240,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out
     at = docs.columns.index(text)
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encode(content, pattern, at, not keep_text), schema)
+    return docs.mapInArrow(common.lean(_encode(content, pattern, at, not keep_text)), schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -252,7 +252,7 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "d
     common.prepare(rows.sparkSession)
     content = rows.sparkSession.sparkContext.broadcast(read_local(path))
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())])
-    return rows.mapInArrow(_decode(content, rows.columns.index(ids)), schema)
+    return rows.mapInArrow(common.lean(_decode(content, rows.columns.index(ids))), schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table may be broadcast; beyond it the shuffled join is used.
 BROADCAST_ROWS = 200_000
 #: Rows of one Arrow batch: whole texts, so that a batch of long documents still fits.
-BATCH_ROWS = 1000
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 _shipped: set[str] = set()
 
@@ -29,9 +30,11 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Make the package importable on every executor and bound the Arrow batches.
 
-    The package goes out with ``addPyFile``, once for each application.
+    The package goes out with ``addPyFile``, once for each application. A batch size that
+    the caller has set stays.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -52,11 +55,14 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    Where the cluster names none, as in tests on one machine, a temporary folder.
+    Where none is named, as in tests on one machine, a temporary folder; on a cluster that
+    is an error, since executors don't see each other's disks.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/quillbase-{context.applicationId}"
 
@@ -64,12 +70,12 @@ def shared_dir(spark: SparkSession) -> str:
 _cleaned: set[str] = set()
 
 
-def _remove(spark: SparkSession, place: str) -> None:
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(place)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session has ended: the folder is then the cluster's to clear
-        pass
+def _remove_at_end(spark: SparkSession, place: str) -> None:
+    """Let the JVM remove ``place`` when it exits, also after ``spark.stop()``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -78,12 +84,29 @@ def settle(df: DataFrame) -> DataFrame:
     place = shared_dir(spark)
     if place not in _cleaned:
         _cleaned.add(place)
-        atexit.register(_remove, spark, place)
+        _remove_at_end(spark, place)
     path = f"{place}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function for mapInArrow, that gives freed memory back when a task ends.
+
+    Workers live on after a task, beside the next ones and the executor's heap.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a settled table for broadcast if its rows, counted here, are within ``limit``."""
     return F.broadcast(df) if df.count() <= limit else df

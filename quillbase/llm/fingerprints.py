@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id and fingerprint for each row of ``docs``; null and empty texts have the empty sketch."""
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_plain, "doc_id long, fingerprint string")
+    return rows.mapInArrow(common.lean(_plain), "doc_id long, fingerprint string")
 
 
 #: Blocks of neighbouring ids: rows in one where the table is small, and blocks at most.
@@ -193,7 +193,7 @@ def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return with_next(rows).mapInArrow(_compare, _SCHEMA)
+    return with_next(rows).mapInArrow(common.lean(_compare), _SCHEMA)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

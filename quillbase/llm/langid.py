@@ -111,7 +111,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def profiles(docs: DataFrame) -> dict[str, np.ndarray]:
     """Packed n-grams by rank for each language of ``docs`` (text, lang), counted over all of them."""
-    counts = docs.select("text", "lang").mapInArrow(_tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = docs.select("text", "lang").mapInArrow(common.lean(_tally), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), (F.col("gram") < 0), "gram")  # as unsigned numbers
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).toPandas().sort_values(["lang", "rank"])
     return {lang: rows["gram"].to_numpy(np.int64).view(np.uint64) for lang, rows in top.groupby("lang")}
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], doc_id: str = "doc_i
     """
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_predict(known), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(common.lean(_predict(known)), "doc_id long, lang_pred string, score double")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@
    that the population count of the XOR of two sketches estimates how many samples
    differ, and precisely so for high similarities.
 2. Documents of equal shingle sets form a class; one of them stands for it.
-3. Each band's bucket has one pivot, another one in each band, and every member is
-   a candidate with its pivot: never all pairs of a bucket.
+3. Each band's bucket has a pivot, and every member is a candidate with its pivot:
+   never all pairs of a bucket.
 4. Candidates whose sketches agree are confirmed on the full sets. Confirmed links
    give components; candidates within a component need no test.
-5. Members of one bucket may still be in different components. Of these documents,
+5. Members of one bucket may still be in different components. In a bucket of at most
+   BLOCK members their sketches are compared at once. Of the documents of larger ones
    each lists its shingles that another one has too, rarest first. Two documents that
    reach the threshold share a shingle so early in both lists that enough of either
    list is left for their intersection. Each is tested with the most central document of
@@ -19,6 +20,10 @@
 
 A pair at the threshold or above escapes all buckets with probability MISS at most, and
 its sketches reject it with probability MISS at most: a link is lost with at most twice that.
+
+A join on a key that may be hot (a document with many candidates, a shingle of many
+documents, the smallest node of a large component) deals the key's rows over as many
+places as they need and copies the other side to those places (``attach``, ``cells``).
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ SKETCH_BITS = 512
 WORDS = SKETCH_BITS // 64
 #: Probability with which a pair at the threshold escapes all buckets, and with which its sketches reject it.
 MISS = 1e-6
+#: Members of a bucket up to which their sketches are compared at once.
+BLOCK = 64
+#: Rows of one key that meet in one place, and places among which a key's rows are dealt while their number is unknown.
+MEET, PLACES = 128, 32
 
 
 def band_count(percent: int, miss: float = MISS) -> int:
@@ -150,46 +159,83 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
+def attach(rows: DataFrame, key: str | list[str], other: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (key, ...; few rows a key), where a key may have a great part of the rows.
+
+    A key's rows are dealt by ``other`` over PLACES, and its rows of ``table`` are copied to
+    the places in use.
+    """
+    key = [key] if isinstance(key, str) else key
+    dealt = rows.withColumn("_place", F.pmod(F.xxhash64(other), F.lit(PLACES)).cast("int"))
+    used = dealt.groupBy(*key).agg(F.collect_set("_place").alias("_places"))
+    copies = table.join(used, key).withColumn("_place", F.explode("_places")).drop("_places")
+    return dealt.join(copies, [*key, "_place"], how).drop("_place")
+
+
+def attach_settled(rows: DataFrame, key: str | list[str], other: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """The same with a settled ``table``, which is broadcast if its counted rows allow it."""
+    if table.count() <= common.BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    return attach(rows, key, other, table, how)
+
+
+def cells(rows: DataFrame, key: str, other: str, meet: int = MEET) -> DataFrame:
+    """``rows`` with ``_cells``: into how many parts of about ``meet`` rows a key's rows are to be dealt."""
+    dealt = rows.select(key, F.pmod(F.xxhash64(other), F.lit(PLACES)).cast("int").alias("_place"))
+    sizes = dealt.groupBy(key).agg(F.ceil(F.count("*") / meet).cast("int").alias("_cells"), F.collect_set("_place").alias("_places"))
+    sizes = sizes.select(key, "_cells", F.explode("_places").alias("_place"))
+    return rows.withColumn("_place", F.pmod(F.xxhash64(other), F.lit(PLACES)).cast("int")).join(sizes, [key, "_place"]).drop("_place")
+
+
+def _cell(other: str, count: str = "_cells") -> Column:
+    return F.pmod(F.xxhash64(other), F.col(count)).cast("int")
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
     """The settled ``pairs`` (x, p) whose full shingle sets reach the threshold.
 
-    A node p with many partners has its set copied to as many places as there are
-    hundreds of them, so that no task gathers all of a hub's pairs.
+    Either end of a pair may have many partners: its pairs are dealt over places of about
+    MEET, and its set is copied to each, so that no task gathers all of a hub's pairs.
     """
-    nodes = common.settle(pairs.select(F.col("x").alias("node")).union(pairs.select("p")).distinct())
+    nodes = common.settle(pairs.select(F.explode(F.array("x", "p")).alias("node")).distinct())
     texts = docs.join(common.small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
-    sets = common.settle(texts.mapInArrow(_sets(width), "node long, set array<long>"))
-    spread = pairs.groupBy("p").agg(F.ceil(F.count("*") / 100).cast("int").alias("places"))
-    hubs = sets.join(spread, F.col("node") == F.col("p")).select("p", F.col("set").alias("set_p"), "places")
-    hubs = hubs.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("places") - 1)))
-    dealt = pairs.select("x", "p").join(spread, "p").withColumn("place", F.pmod(F.xxhash64("x"), F.col("places")).cast("int")).drop("places")
-    both = dealt.join(hubs.drop("places"), ["p", "place"]).select("x", "p", "set_p")
-    both = both.join(sets.withColumnRenamed("set", "set_x"), F.col("x") == F.col("node"))
+    sets = common.settle(texts.mapInArrow(common.lean(_sets(width)), "node long, set array<long>"))
+    for end, other in (("x", "p"), ("p", "x")):
+        pairs = cells(pairs, end, other).withColumn(f"_cell_{end}", _cell(other)).drop("_cells")
+    pairs = common.settle(pairs)
+    for end in ("x", "p"):
+        places = pairs.select(end, f"_cell_{end}").distinct()
+        own = sets.join(places, F.col("node") == F.col(end)).select(end, f"_cell_{end}", F.col("set").alias(f"set_{end}"))
+        pairs = pairs.join(own, [end, f"_cell_{end}"])
     shared = F.size(F.array_intersect("set_x", "set_p"))
-    return both.where(100 * shared >= percent * (F.size("set_x") + F.size("set_p") - shared)).select("x", "p").distinct()
+    return pairs.where(100 * shared >= percent * (F.size("set_x") + F.size("set_p") - shared)).select("x", "p").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v): every node of ``links`` (x, p) but the smallest of its component, with that smallest node.
 
-    Alternating large-star and small-star steps: each rewires edges to the least
-    neighbour, until nothing changes.
+    Edges lead from the greater node u to the smaller v. Alternating large-star and
+    small-star steps each rewire edges to the least neighbour, until every node has one
+    edge, to a node without any.
     """
     edges = links.select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).where("u > v").distinct()
     edges = common.settle(edges)
-    before = None
     while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
+        least = common.settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        # Large star: what hangs on a node that has smaller neighbours itself hangs on the least of them.
+        inner = least.select(F.col("u").alias("v"), "m").join(edges.select("v").distinct(), "v", "left_semi")
+        inner = common.settle(inner)
+        if not inner.isEmpty():
+            edges = attach_settled(edges, "v", "u", inner, "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+            edges = common.settle(edges)
+            least = common.settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        # Small star: the smaller neighbours of a node hang on the least of them.
+        many = common.settle(least.where("n > 1").select("u", "m"))
+        if not many.isEmpty():
+            moved = attach_settled(edges, "u", "v", many).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            edges = common.settle(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        elif inner.isEmpty():
             return edges
-        before = mark
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        moved = small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.settle(moved.union(small.select("u", F.col("m").alias("v"))).distinct())
 
 
 def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -200,10 +246,10 @@ def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("_x <> _p").drop("_x", "_p")
 
 
-def _mixed(own: DataFrame, key: str) -> DataFrame:
+def _mixed(own: DataFrame, key: str, other: str) -> DataFrame:
     """The rows (key, root, ...) of keys that occur in more than one component."""
     ends = own.groupBy(key).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select(key)
-    return own.join(ends, key)
+    return attach(own, key, other, ends)
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -223,16 +269,16 @@ def _lists(docs: DataFrame, own: DataFrame, percent: int, width: int) -> DataFra
     (the least one allowed has ``percent`` of a document's size), and shingles of a single
     component.
     """
-    texts = docs.join(common.small(own.select("rep").distinct()), F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = common.settle(texts.mapInArrow(_sets(width), "node long, set array<long>"))
+    texts = docs.join(common.small(own.select("rep")), F.col("doc_id") == F.col("rep"), "left_semi")
+    sets = common.settle(texts.mapInArrow(common.lean(_sets(width)), "node long, set array<long>"))
     each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     both = each.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
-    lists = each.join(both, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("list"))
+    lists = attach(each, "shingle", "node", both).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("list"))
     lists = lists.select("node", "n", F.posexplode("list").alias("at", "item"), F.size("list").alias("size"))
     lists = lists.select("node", "n", "size", F.col("item.shingle").alias("shingle"), (F.col("size") - F.col("at")).alias("left"))
     lists = lists.where(_enough(F.col("left"), F.col("n") + F.ceil(F.col("n") * percent / 100), percent))
     lists = common.settle(lists.join(own, F.col("node") == F.col("rep")).drop("rep"))
-    return common.settle(_mixed(lists, "shingle"))
+    return common.settle(_mixed(lists, "shingle", "node"))
 
 
 def _renamed(lists: DataFrame, roots: DataFrame) -> DataFrame:
@@ -261,75 +307,99 @@ def _central(lists: DataFrame, percent: int, flips: int) -> DataFrame:
     any_ = F.max_by(every, F.xxhash64("node", "shingle"))
     pivots = lists.groupBy("shingle").agg(F.array(most, any_).alias("p")).select("shingle", F.explode("p").alias("p"))
     pivots = pivots.select("shingle", *[F.col(f"p.{c}").alias(f"{c}_p") for c in _END])
-    pairs = lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in _END]).join(pivots, "shingle")
+    pairs = attach(lists.select("shingle", *[F.col(c).alias(f"{c}_x") for c in _END]), "shingle", "node_x", pivots)
     return pairs.where((F.col("root_x") != F.col("root_p")) & _possible(percent, flips)).select(*_ordered("node_x", "node_p")).distinct()
 
 
 def _meetings(lists: DataFrame, percent: int, flips: int) -> DataFrame:
     """Pairs (x, p, root_x, root_p, flips) of different components that a shingle rare enough leads to."""
-    a, b = (lists.select("shingle", *[F.col(c).alias(f"{c}_{end}") for c in _END]) for end in ("x", "p"))
-    pairs = a.join(b, "shingle").where((F.col("root_x") < F.col("root_p")) & _possible(percent, flips))
+    dealt = cells(lists, "shingle", "node").withColumn("_own", _cell("node"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
+    a = dealt.select("shingle", F.col("_own").alias("_i"), every.alias("_j"), *[F.col(c).alias(f"{c}_x") for c in _END])
+    b = dealt.select("shingle", every.alias("_i"), F.col("_own").alias("_j"), *[F.col(c).alias(f"{c}_p") for c in _END])
+    pairs = a.join(b, ["shingle", "_i", "_j"]).where((F.col("root_x") < F.col("root_p")) & _possible(percent, flips))
     return pairs.select(*_ordered("node_x", "node_p"), "root_x", "root_p", _flips("sketch_x", "sketch_p").alias("flips")).distinct()
 
 
+def _within(open_: DataFrame, percent: int, flips: int) -> DataFrame:
+    """Pairs (x, p) of different components in one bucket of ``open_`` (bucket, rep, root, n, sketch), by sizes and sketches.
+
+    Buckets have BLOCK members at most, so a member meets no more than that."""
+    a, b = (open_.select("bucket", *[F.col(c).alias(f"{c}_{end}") for c in ("rep", "root", "n", "sketch")]) for end in ("x", "p"))
+    alike = _sizes_allow("n_x", "n_p", percent) & (_flips("sketch_x", "sketch_p") <= flips)
+    return a.join(b, "bucket").where((F.col("root_x") < F.col("root_p")) & alike).select(*_ordered("rep_x", "rep_p")).distinct()
+
+
+def _same_rows(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (x, p) between the classes of rows that have one id but different texts."""
+    differ = " OR ".join(f"min({c}) <> max({c})" for c in ("hi", "lo"))
+    ids = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr(differ).alias("differ")).where("differ").select("doc_id")
+    rows = signed.where("n > 0").join(common.small(common.settle(ids)), "doc_id").select("doc_id", "hi", "lo")
+    return rows.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select(F.col("doc_id").alias("x"), F.col("rep").alias("p"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     Documents are linked if 100 * intersection >= percent * union of their sets of
     ``width``-word shingles. Null and empty texts, and texts without words, have an
-    empty set and are linked with nothing. Rows of one id are one document: they get
-    one component. A row without an id gets a null component and is kept. Only
+    empty set and are linked with nothing. Rows of one id are one document, whatever their
+    texts: those with words get one component. A row without an id gets a null component and is kept. Only
     doc_id and text are read; an empty table gives an empty result.
     """
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bands = band_count(percent)
     flips = most_flips(percent, bands * ROWS_PER_BAND)
-    signed = common.settle(docs.mapInArrow(_sign(bands, width), "doc_id long, n long, hi long, lo long, bands array<long>, sketch array<long>"))
+    signed = common.settle(docs.mapInArrow(common.lean(_sign(bands, width)), "doc_id long, n long, hi long, lo long, bands array<long>, sketch array<long>"))
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a class
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), one("n"), one("bands"), one("sketch"))
+    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), one("n"), one("bands"), one("sketch"))
     classes = common.settle(classes)
     sketches = classes.select("rep", "n", "sketch")
 
     members = classes.select("rep", F.explode("bands").alias("bucket"))
-    salt = F.xxhash64("bucket")
+    # The least member in one of four orders: near copies meet the same few pivots in all their buckets.
+    salt = F.xxhash64(F.pmod("bucket", F.lit(4)))
     buckets = members.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("low"), F.count("*").alias("c")).where("c > 1")
-    buckets = common.settle(buckets.select("bucket", F.col("low").bitwiseXOR(salt).alias("pivot")))
-    hot = members.join(common.small(buckets), "bucket")
+    buckets = common.settle(buckets.select("bucket", F.col("low").bitwiseXOR(salt).alias("pivot"), "c"))
+    hot = common.settle(attach_settled(members, "bucket", "rep", buckets))
     star = hot.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("p")).distinct()
-    for end in ("x", "p"):
-        star = star.join(sketches.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
-    star = star.where(_sizes_allow("n_x", "n_p", percent)).select("x", "p", _flips("s_x", "s_p").alias("flips"))
-    star = common.settle(star.where(F.col("flips") <= flips))
-
-    best = common.settle(star.groupBy("x").agg(F.min_by("p", F.struct("flips", "p")).alias("p")))
-    roots = components(confirm(docs, best, percent, width))
-    rest = common.settle(_crossing(star.join(best, ["x", "p"], "left_anti"), roots))
-    if not rest.isEmpty():
-        roots = components(_union(roots, confirm(docs, rest, percent, width)))
-
-    own = hot.join(roots, F.col("rep") == F.col("u"), "left").select("bucket", "rep", F.coalesce("v", "rep").alias("root"))
-    open_ = common.settle(_mixed(common.settle(own), "bucket").select("rep", "root").distinct())
+    of = lambda end: sketches.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
+    star = attach(star.join(of("x"), "x"), "p", "x", of("p"))
+    star = star.where(_sizes_allow("n_x", "n_p", percent) & (_flips("s_x", "s_p") <= flips))
+    star = common.settle(star.select(*_ordered("x", "p")).distinct())
+    roots = components(confirm(docs, star, percent, width).union(_same_rows(signed, classes)))
+
+    own = hot.join(roots, F.col("rep") == F.col("u"), "left").select("bucket", "c", "rep", F.coalesce("v", "rep").alias("root"))
+    open_ = common.settle(_mixed(common.settle(own), "bucket", "rep"))
     if not open_.isEmpty():
-        tried = star.select(*_ordered("x", "p"))
-        lists = _lists(docs, open_.join(sketches.drop("n"), "rep"), percent, width)
-        central = common.settle(_central(lists, percent, flips).join(tried, ["x", "p"], "left_anti"))
-        if not central.isEmpty():
-            roots = components(_union(roots, confirm(docs, central, percent, width)))
-            lists = _mixed(common.settle(_renamed(lists, roots)), "shingle")
-            tried = tried.union(central)
-        met = common.settle(_meetings(lists, percent, flips).join(tried, ["x", "p"], "left_anti"))
-        # One pair of two components may join them: the likeliest first, then what still crosses.
-        first = common.settle(met.groupBy("root_x", "root_p").agg(F.min_by(F.struct("x", "p"), F.struct("flips", "x", "p")).alias("e")).select("e.x", "e.p"))
-        if not first.isEmpty():
-            roots = components(_union(roots, confirm(docs, first, percent, width)))
-            rest = common.settle(_crossing(met.select("x", "p").join(first, ["x", "p"], "left_anti"), roots))
-            if not rest.isEmpty():
-                roots = components(_union(roots, confirm(docs, rest, percent, width)))
-
-    named = classes.select("hi", "lo", "rep").join(roots, F.col("rep") == F.col("u"), "left")
-    named = named.select("hi", "lo", F.coalesce("v", "rep").alias("root"))
-    out = signed.select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
+        sketched = lambda rows: rows.join(sketches, "rep")
+        found = _within(sketched(open_.where(F.col("c") <= BLOCK)), percent, flips)
+        wide = common.settle(open_.where(F.col("c") > BLOCK).select("rep", "root").distinct())
+        lists = None
+        if not wide.isEmpty():
+            lists = _lists(docs, sketched(wide).drop("n"), percent, width)
+            found = found.union(_central(lists, percent, flips))
+        tried = common.settle(found.distinct().join(star, ["x", "p"], "left_anti"))
+        if not tried.isEmpty():
+            roots = components(_union(roots, confirm(docs, tried, percent, width)))
+        if lists is not None:
+            lists = common.settle(_mixed(_renamed(lists, roots), "shingle", "node"))
+            met = _meetings(lists, percent, flips).join(star.union(tried), ["x", "p"], "left_anti")
+            met = common.settle(met)
+            # One pair of two components may join them: the likeliest first, then what still crosses.
+            first = met.groupBy("root_x", "root_p").agg(F.min_by(F.struct("x", "p"), F.struct("flips", "x", "p")).alias("e"))
+            first = common.settle(first.select("e.x", "e.p"))
+            if not first.isEmpty():
+                roots = components(_union(roots, confirm(docs, first, percent, width)))
+                rest = common.settle(_crossing(met.select("x", "p").join(first, ["x", "p"], "left_anti"), roots))
+                if not rest.isEmpty():
+                    roots = components(_union(roots, confirm(docs, rest, percent, width)))
+
+    # A row of a class of its own without links keeps its id; the others look theirs up.
+    named = classes.join(roots, F.col("rep") == F.col("u"), "left").where("rows > 1 OR v IS NOT NULL")
+    named = common.settle(named.select("hi", "lo", F.coalesce("v", "rep").alias("root")))
+    out = attach_settled(signed.select("doc_id", "n", "hi", "lo"), ["hi", "lo"], "doc_id", named, "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("root")), F.col("doc_id")))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -340,6 +410,7 @@ def _union(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept over all documents, linked from 85 % on."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
 

@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL AND id IS NOT NULL")
     marked = marked.where(common.crc_fold(F.col("id"), folds) != left_out).orderBy(F.xxhash64("id"), "id", "quality").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("id")).select("text", "quality", "id")
-    rows = rows.select("text", F.struct("id", "quality").alias("label")).mapInArrow(_chunks, "chunks array<binary>, quality struct<id:long,quality:int>")
+    rows = rows.select("text", F.struct("id", "quality").alias("label")).mapInArrow(common.lean(_chunks), "chunks array<binary>, quality struct<id:long,quality:int>")
     found = sorted(rows.collect(), key=lambda r: (r.quality.id, r.quality.quality, r.chunks))
     chunks = [np.frombuffer(bytes(c), np.uint8) for r in found for c in r.chunks]
     owner = np.repeat(np.arange(len(found)), [len(r.chunks) for r in found])
@@ -175,7 +175,7 @@ def quality(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField(out, T.DoubleType())])
-    return rows.mapInArrow(_score(net), schema)
+    return rows.mapInArrow(common.lean(_score(net)), schema)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

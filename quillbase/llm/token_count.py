@@ -390,7 +390,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     with open(path, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(_count(content), "doc_id long, n_bytes long, n_tokens long")
+    rows = rows.mapInArrow(common.lean(_count(content)), "doc_id long, n_bytes long, n_tokens long")
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

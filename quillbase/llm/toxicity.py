@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
     n, pos = total["n"], total["pos"]
     if pos in (0, n):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 40.0 if n and pos else -40.0)
-    counts = rows.mapInArrow(_presence, "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(common.lean(_presence), "gram long, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     p, q = (F.col("pos") + 1) / (pos + 2), (F.col("neg") + 1) / (n - pos + 2)
     # How far the rates are apart, in standard errors of their difference.
     apart = F.abs(p - q) / F.sqrt(p * (1 - p) / (pos + 2) + q * (1 - q) / (n - pos + 2))
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
     keys, ratio = best["gram"].to_numpy(np.int64).view(np.uint64), best["ratio"].to_numpy(float)
     order = np.argsort(keys)
     model = Model(keys[order], ratio[order], 0.0)
-    table = rows.mapInArrow(_lookup(model), "toxic int, features array<int>").toArrow()
+    table = rows.mapInArrow(common.lean(_lookup(model)), "toxic int, features array<int>").toArrow()
     lists = pc.list_value_length(table["features"]).to_numpy().astype(np.int64)
     flat = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in table["features"].chunks]])
     return regress(model, flat, lists, table["toxic"].to_numpy().astype(float), rounds)
@@ -181,7 +181,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "toxi
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[text], *[f for f in docs.schema.fields if f.name != text], T.StructField(out, T.DoubleType())])
-    return docs.select([f.name for f in schema.fields[:-1]]).mapInArrow(_score(model), schema).select(*docs.columns, out)
+    return docs.select([f.name for f in schema.fields[:-1]]).mapInArrow(common.lean(_score(model)), schema).select(*docs.columns, out)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

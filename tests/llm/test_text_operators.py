@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from quillbase.llm import byte_bpe, fingerprints, kernels, neardup, token_count
+from quillbase.llm import byte_bpe, fingerprints, kernels, neardup, quality_rules, token_count
 
 tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -303,3 +303,67 @@ def test_bpe_round_trip(spark):
     assert byte_bpe.bpe_encode(frame.where("false"), path, tokenizers.PATTERN).count() == 0
     ids = spark.createDataFrame([(1, [5, 6]), (2, None), (3, [])], "k long, token_ids array<int>")
     assert [len(r.decoded) for r in byte_bpe.bpe_decode(ids, path).orderBy("k").collect()] == [2, 0, 0]
+
+
+# Hashes and rows of one id
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_patterns_that_polynomial_hashes_confuse(spark):
+    one = thue_morse(2048)
+    two = one.translate({97: 98, 98: 97})
+    data = np.frombuffer((one + two + one).encode(), np.uint8)
+    a, b, c = kernels.span_hashes(data, np.arange(3) * 2048, np.arange(1, 4) * 2048).tolist()
+    assert a != b and a == c
+    rows = [(1, f"{one} {two}\n{two} {one}"), (2, f"{two} {one}\n{one} {two}")]
+    got = {r.doc_id: r for r in quality_rules.measure(docs(spark, rows)).collect()}
+    assert all(got[i].n_dup_lines == 0 and got[i].n_distinct == 2 for i in (1, 2))
+    first, second = fingerprints.sketches([t for _, t in rows])
+    assert first.text() != second.text() and first.likeness(second) < 1
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_span_hashes_of_every_length():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, 400, dtype=np.uint8)
+    starts, stops = map(np.array, zip(*[(i, j) for i in range(0, 120) for j in range(i, i + 40)], strict=True))
+    known = {}
+    for a, b, h in zip(starts, stops, kernels.span_hashes(data, starts, stops).tolist(), strict=True):
+        assert known.setdefault(h, data[a:b].tobytes()) == data[a:b].tobytes()
+    assert len(known) == len({data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)})
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = ("a " * 1 + f"one two three four five {x}" for x in ("six", "seven eight nine", "ten eleven twelve thirteen"))
+    rows = [(5, a), (2, a), (5, b), (3, b), (9, c), (9, None), (4, "other words that stand alone here")]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles > 0) for r in neardup.near_duplicates(docs(spark, rows)).collect())
+    assert got == [(2, 2, True), (3, 2, True), (4, 4, True), (5, 2, True), (5, 2, True), (9, 9, False), (9, 9, True)]
+
+
+def test_one_group_holds_most_rows(spark):
+    """Copies of one text, near copies around one document of a high id, and a passage that many share."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(base)) for k in range(300)]
+    for k in range(300, 600):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    rows += [(k, " ".join([*base[:60], *(f"y{k}_{j}" for j in range(90))])) for k in range(600, 900)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), percent=85).collect()}
+    assert got == {k: 0 if k < 600 else k for k in range(900)}
+
+
+def test_large_buckets(spark, monkeypatch):
+    """Without the comparison of small buckets, lists of shared shingles find the same links."""
+    rows = [(k, t) for k, t in enumerate(random_texts(300, seed=21))]
+    want = brute_components(rows, 85)
+    for block in (1, 3, 64):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "MEET", 2)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), percent=85).collect()}
+        assert got == want
