@@ -1,19 +1,26 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct words (matches of the split pattern) of a batch of documents are laid
-out as one linked list of byte symbols. An inverted index maps the rank of each
-adjacent pair to the positions where it stands. The ranks are replayed in order over
-all words at once: each merge touches its positions and their two neighbours only,
-and enters the pairs that arise into the index. Words met before keep their ids in a
-bounded cache.
+1. One pass counts the words (matches of the split pattern) of all texts.
+2. The distinct words of the corpus, the most frequent ones if they are more than LEXICON,
+   are laid out as one linked list of byte symbols. An inverted index maps the rank of
+   each adjacent pair to the positions where it stands. The ranks are replayed in order
+   over all words at once: each merge touches its positions and their two neighbours only,
+   and enters the pairs that arise into the index.
+3. The words with their ids, a table of bounded size, are broadcast, and a second pass puts
+   each text together from them. Words beyond the table, rare ones or long ones, are
+   replayed the same way, all new ones of a few megabytes of text at once.
+
+The ids do not depend on what the table holds.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +31,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Text bytes handled at a time, and words a worker remembers.
-SLICE_BYTES, CACHE_WORDS = 2 << 20, 200_000
+#: Words of the broadcast table and the bytes of its longest word: under 50 MB, however large the corpus.
+LEXICON, LONGEST = 150_000, 64
+#: Text bytes handled at a time, words beyond the table that a task remembers, and characters from which a text is split lazily.
+SLICE_BYTES, CACHE_WORDS, LONG_TEXT = 2 << 20, 100_000, 1 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -34,17 +43,16 @@ class Vocabulary:
 
     def __init__(self, content: bytes):
         lines = (line.split() for line in content.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(a): int(b) for a, b in lines}
-        size = max(self.ranks.values(), default=-1) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
+        ranks = {base64.b64decode(a): int(b) for a, b in lines}
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
             tokens[rank] = token
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.stops = np.cumsum([len(t) for t in tokens], dtype=np.int64)
         self.lengths = np.diff(self.stops, prepend=0)
-        self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        get, pairs, merged = self.ranks.get, [], []
-        for token, rank in self.ranks.items():
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        get, pairs, merged = ranks.get, [], []
+        for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = get(token[:cut]), get(token[cut:])
                 if a is not None and b is not None:
@@ -54,6 +62,16 @@ class Vocabulary:
         self.pairs = np.append(np.array(pairs, np.int64)[order], np.int64((1 << 63) - 1))
         self.merged = np.append(np.array(merged, np.int64)[order], _NONE)
 
+    def decoder(self) -> Vocabulary:
+        """This vocabulary without what only encoding takes."""
+        light = Vocabulary(b"")
+        light.bytes, light.stops, light.lengths = self.bytes, self.stops, self.lengths
+        return light
+
+    def ranks(self) -> dict[bytes, int]:
+        data, stops = self.bytes.tobytes(), self.stops.tolist()
+        return {data[a:b]: k for k, (a, b) in enumerate(zip([0, *stops], stops, strict=False)) if b > a}
+
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the concatenation of tokens a and b, _NONE where there is none."""
         keys = a << 32 | b
@@ -116,103 +134,163 @@ class Vocabulary:
         return token[:n][alive[:n]], kept[stops] - kept[stops - lengths]
 
 
-class Encoder:
-    def __init__(self, content: bytes, pattern: str):
-        import regex
-
-        self.vocabulary = Vocabulary(content)
-        self.split = regex.compile(pattern).findall
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.starts, self.counts = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
-        """Enter ids of words that the cache lacks."""
-        raw = [w.encode() for w in words]
-        get = self.vocabulary.ranks.get
-        whole = [get(w) for w in raw]
-        rest = [w for w, r in zip(raw, whole, strict=True) if r is None]
-        ids, counts = self.vocabulary.replay(rest)
-        size = np.ones(len(words), np.int64)
+    def encode(self, words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, and the number of ids of each. A word that is a token is that token."""
+        whole = [ranks.get(w) for w in words]
         direct = np.array([r is not None for r in whole], bool)
+        ids, counts = self.replay([w for w, r in zip(words, whole, strict=True) if r is None])
+        size = np.ones(len(words), np.int64)
         size[~direct] = counts
-        starts = np.cumsum(size) - size
         flat = np.zeros(int(size.sum()), np.int32)
         flat[np.repeat(~direct, size)] = ids
-        flat[starts[direct]] = [r for r in whole if r is not None]
-        k, more = len(self.place), len(words)
-        while k + more > len(self.starts):
-            self.starts, self.counts = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.counts, np.zeros_like(self.counts))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.starts[k : k + more], self.counts[k : k + more] = self.used + starts, size
-        self.used += len(flat)
-        self.place.update(zip(words, range(k, k + more), strict=True))
+        flat[(np.cumsum(size) - size)[direct]] = [r for r in whole if r is not None]
+        return flat, size
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Binary values, each of the next ``counts`` ids."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
+            raise ValueError("an id is outside the vocabulary")
+        sizes = self.lengths[ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.bytes[np.repeat((self.stops - self.lengths)[ids] - stops[:-1], sizes) + np.arange(stops[-1])]
+        bounds = stops[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+@dataclass
+class Lexicon:
+    """Words of the corpus with their ids."""
+
+    words: pa.Array
+    ids: np.ndarray
+    counts: np.ndarray
+
+
+def splitter(pattern: str) -> Callable[[str], Iterable[str]]:
+    """The matches of ``pattern``: listed at once, or one by one in long texts."""
+    import regex
+
+    compiled = regex.compile(pattern)
+    return lambda text: compiled.findall(text) if len(text) < LONG_TEXT else (m.group() for m in compiled.finditer(text))
+
+
+class _Places(dict):
+    """Number of each word; a new word gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
+
+
+class Encoder:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, pattern: str):
+        self.vocabulary, self.split = vocabulary, splitter(pattern)
+        self.base = lexicon
+        self.ranks: dict[bytes, int] = {}
+        self.place = _Places(zip(lexicon.words.to_pylist(), range(len(lexicon.words)), strict=True))
+        self.ids, self.counts = lexicon.ids, lexicon.counts
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def learn(self) -> None:
+        """Enter the ids of the words that have a number only."""
+        known = len(self.counts)
+        if len(self.place) == known:
+            return
+        self.ranks = self.ranks or self.vocabulary.ranks()
+        new = list(self.place)[known:]
+        ids, counts = self.vocabulary.encode([w.encode() for w in new], self.ranks)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+
+    def forget(self) -> None:
+        n = len(self.base.words)
+        for word in list(self.place)[n:]:
+            del self.place[word]
+        self.ids, self.counts, self.starts = self.base.ids, self.base.counts, self.starts[:n]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the n + 1 offsets of each text's ids."""
-        if len(self.place) > CACHE_WORDS:
+        if len(self.place) > len(self.base.words) + CACHE_WORDS:
             self.forget()
-        words, bounds = [], [0]
-        for text in texts:
-            words += self.split(text)
-            bounds.append(len(words))
-        place = self.place
-        new = [w for w in dict.fromkeys(words) if w not in place]
-        if new:
-            self.learn(new)
-        k = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        number = self.place.__getitem__
+        parts = [np.fromiter(map(number, self.split(text)), np.int32) for text in texts]
+        self.learn()
+        k = np.concatenate([np.zeros(0, np.int32), *parts])
         counts = self.counts[k]
         stops = np.concatenate([[0], np.cumsum(counts)])
         flat = self.ids[np.repeat(self.starts[k] - stops[:-1], counts) + np.arange(stops[-1])]
-        return flat, stops[np.array(bounds)]
+        return flat, stops[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
+
+
+def _tally(pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, sums = splitter(pattern), Counter()
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
 
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    sums.update(split(text.as_py()))
+                if len(sums) > CACHE_WORDS:
+                    yield rows()
+                    sums.clear()
+        yield rows()
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+    return run
 
 
-def encoder(content: bytes, pattern: str) -> Encoder:
-    """This worker's encoder, built once for each vocabulary and pattern."""
-    key = (hashlib.sha256(content).hexdigest(), pattern)
-    if key not in _encoders:
-        _encoders[key] = Encoder(content, pattern)
-    return _encoders[key]
+def _replayed(vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [w for batch in batches for w in batch.column(0).to_pylist()]
+        ids, counts = vocabulary.value.encode([w.encode() for w in words], vocabulary.value.ranks())
+        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))], ["word", "ids"])
+
+    return run
+
+
+def lexicon(docs: DataFrame, vocabulary, pattern: str, text: str = "text") -> Lexicon:
+    """The corpus's words with their ids: counted over all texts, replayed together in one task.
+
+    At most LEXICON words, the most frequent ones, of at most LONGEST bytes: so neither that
+    task nor the driver, which gets them, grows with the corpus. ``vocabulary`` is a broadcast.
+    """
+    counts = docs.select(text).mapInArrow(common.lean(_tally(pattern)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(LEXICON).select("word")
+    table = words.coalesce(1).mapInArrow(common.lean(_replayed(vocabulary)), "word string, ids array<int>").toArrow()
+    lists = table["ids"].combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = table["word"].combine_chunks()
+    return Lexicon(found, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), sizes)
 
 
-def _encode(content, pattern: str, at: int, drop: bool):
+def _encode(state, pattern: str, at: int, drop: bool, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(content.value, pattern)
+        own = Encoder(*state.value, pattern)
         for batch in batches:
             _, ends = common.utf8(batch.column(at))
             for i, j in common.slices(ends, SLICE_BYTES):
                 part = batch.slice(i, j - i)
                 flat, bounds = own.encode([t or "" for t in part.column(at).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
-                kept = [k for k in range(batch.num_columns) if not (drop and k == at)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), lists], names=[str(k) for k in range(len(kept) + 1)])
+                columns = [part.column(k) for k in range(batch.num_columns) if not (drop and k == at)]
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)))
+                if decoded:
+                    columns.append(own.vocabulary.decode(flat, np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
 
     return run
 
 
-def _decode(content, at: int):
+def _decode(vocabulary, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(content.value, "").vocabulary
         for batch in batches:
             lists = pc.fill_null(batch.column(at), pa.scalar([], batch.column(at).type))
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(words.lengths)):
-                raise ValueError("an id is outside the vocabulary")
-            sizes = words.lengths[ids]
-            stops = np.concatenate([[0], np.cumsum(sizes)])
-            data = words.bytes[np.repeat((words.stops - words.lengths)[ids] - stops[:-1], sizes) + np.arange(stops[-1])]
-            bounds = stops[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-            texts = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[str(k) for k in range(batch.num_columns + 1)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, vocabulary.value.decode(ids, counts)], names=[str(k) for k in range(batch.num_columns + 1)])
 
     return run
 
@@ -227,20 +305,27 @@ def read_local(path: str) -> bytes:
         return f.read()
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", keep_text: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """``docs`` with array<int> ``out``: the ids of each whole text by the ranks at ``path``.
 
-    ``path`` is read on the driver and broadcast (a vocabulary, about a megabyte). Each
+    ``path`` is read on the driver and broadcast (a vocabulary, a few megabytes). Each
     match of ``pattern`` is encoded by itself; no special tokens. A null or empty text
-    has no ids. A clash with ``out`` raises ValueError; other columns pass through.
+    has no ids. With ``decoded``, a column of that name has the bytes that the ids decode
+    to, made in the same pass. A clash with a new column raises ValueError; other columns
+    pass through. The words are counted when this is called and the texts read again when
+    the result is, so ``docs`` should be a stored table.
     """
-    _checked(docs, out)
+    for name in (out, decoded):
+        _checked(docs, name or out)
     common.prepare(docs.sparkSession)
-    content = docs.sparkSession.sparkContext.broadcast(read_local(path))
+    context, vocabulary = docs.sparkSession.sparkContext, Vocabulary(read_local(path))
+    shared = context.broadcast(vocabulary)
+    state = context.broadcast((vocabulary, lexicon(docs, shared, pattern, text)))
     at = docs.columns.index(text)
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
-    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(common.lean(_encode(content, pattern, at, not keep_text)), schema)
+    fields.append(T.StructField(out, T.ArrayType(T.IntegerType())))
+    fields += [T.StructField(decoded, T.BinaryType())] if decoded else []
+    return docs.mapInArrow(common.lean(_encode(state, pattern, at, not keep_text, bool(decoded))), T.StructType(fields))
 
 
 def bpe_decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -250,16 +335,17 @@ def bpe_decode(rows: DataFrame, path: str, ids: str = "token_ids", out: str = "d
     """
     _checked(rows, out)
     common.prepare(rows.sparkSession)
-    content = rows.sparkSession.sparkContext.broadcast(read_local(path))
+    vocabulary = rows.sparkSession.sparkContext.broadcast(Vocabulary(read_local(path)).decoder())
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())])
-    return rows.mapInArrow(common.lean(_decode(content, rows.columns.index(ids))), schema)
+    return rows.mapInArrow(common.lean(_decode(vocabulary, rows.columns.index(ids))), schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 over all documents."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN, keep_text=False), path)
+    rows = bpe_encode(docs, path, public_tokenizers.PATTERN, keep_text=False, decoded="decoded")
     listed = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

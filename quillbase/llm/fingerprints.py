@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,8 +99,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(common.lean(_plain), "doc_id long, fingerprint string")
 
 
-#: Blocks of neighbouring ids: rows in one where the table is small, and blocks at most.
+#: Blocks of neighbouring ids: rows in one where the table is small, blocks at most, and knots between them.
 BLOCK_ROWS, MOST_BLOCKS, KNOTS = 256, 100_000, 256
+#: Parts into which the rows of one frequent id, or without an id, are dealt by a hash of their texts.
+PARTS = 256
+HASH_BITS = 62
 
 
 def _search(value: Column, knots: list[int], first: int, last: int) -> Column:
@@ -111,41 +115,50 @@ def _search(value: Column, knots: list[int], first: int, last: int) -> Column:
 
 
 def blocks(docs: DataFrame) -> Column:
-    """A monotone map of doc_id to at most MOST_BLOCKS numbers of about equally many rows.
+    """A map of (doc_id, hash) to at most MOST_BLOCKS numbers of about equally many rows, and PARTS times as many for frequent ids.
 
-    Piecewise linear between approximate quantiles; null ids have the lowest block, -1.
+    Monotone in the id and, among rows of one frequent id, falling with the hash. Piecewise
+    linear between approximate quantiles; an id at which two quantiles lie is frequent. Rows
+    without an id have the lowest blocks.
     """
     rows = docs.count()
     cells = min(MOST_BLOCKS, rows // BLOCK_ROWS + 1)
     parts = min(KNOTS, cells)
-    knots = sorted({int(q) for q in docs.approxQuantile("doc_id", [k / parts for k in range(parts + 1)], 0.2 / parts)}) if rows else []
+    found = Counter(int(q) for q in docs.approxQuantile("doc_id", [k / parts for k in range(parts + 1)], 0.2 / parts)) if rows else {}
+    knots, often = sorted(found), [q for q, n in found.items() if n > 1]
+    part = F.lit(PARTS - 1) - F.shiftright(F.col("hash"), HASH_BITS + 1 - PARTS.bit_length()).cast("int")
     if not knots:
-        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
+        return F.when(F.col("doc_id").isNull(), part - PARTS).otherwise(F.lit(0)).cast("int")
     each = math.ceil(cells / parts)
     at = _search(F.col("doc_id"), knots, 0, len(knots))
     low = F.element_at(F.array(*map(F.lit, [knots[0], *knots])), at + 1)
     high = F.element_at(F.array(*map(F.lit, [*knots, knots[-1] + 1])), at + 1)
     inner = F.least(F.lit(each - 1), F.floor((F.col("doc_id") - low) * F.lit(float(each)) / (high - low)))
     inside = (at > 0) & (at < len(knots))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * each + F.when(inside, F.greatest(F.lit(0), inner)).otherwise(F.lit(0))).cast("int")
+    block = at * each + F.when(inside, F.greatest(F.lit(0), inner)).otherwise(F.lit(0))
+    block = block * PARTS + F.when(F.col("doc_id").isin(often), part).otherwise(F.lit(0))
+    return F.when(F.col("doc_id").isNull(), part - PARTS).otherwise(block).cast("int")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(block, copy, doc_id, text), each block in descending order of id and followed by a
-    copy of the document that comes after it; after the last comes the first.
+    """(block, copy, doc_id, text), each block in descending order of id, then by a hash of the
+    text, and followed by a copy of the document that comes after it; after the last comes the first.
 
     The texts are shuffled once. Only each block's first document is needed elsewhere:
     one row a block, so that table has a proven bound and is broadcast.
     """
+    docs = docs.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 64 - HASH_BITS))
     placed = docs.withColumn("block", blocks(docs))
-    heads = placed.select("block", "doc_id").groupBy("block").agg(F.max("doc_id").alias("head"))
+    heads = placed.groupBy("block").agg(F.max(F.struct("doc_id", (-F.col("hash")).alias("less"))).alias("head"))
     up = Window.partitionBy(F.lit(0)).orderBy("block")
     lowest = F.min("block").over(Window.partitionBy(F.lit(0)))
-    heads = common.settle(heads.select("head", F.col("block").alias("at"), F.coalesce(F.lead("block").over(up), lowest).alias("to")))
-    copies = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to", "doc_id").agg(F.min("text").alias("text"))
-    copies = copies.select(F.col("to").alias("block"), F.lit(1).alias("copy"), "doc_id", "text")
-    rows = placed.select("block", F.lit(0).alias("copy"), "doc_id", "text").union(copies)
-    return rows.repartition("block").sortWithinPartitions("block", "copy", F.col("doc_id").desc_nulls_last(), "text")
+    to = F.coalesce(F.lead("block").over(up), lowest).alias("to")
+    heads = common.settle(heads.select(F.col("head.doc_id").alias("head"), (-F.col("head.less")).alias("head_hash"), to))
+    same = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash"))
+    copies = docs.join(F.broadcast(heads), same).groupBy("to", "doc_id", "hash").agg(F.min("text").alias("text"))
+    copies = copies.select(F.col("to").alias("block"), F.lit(1).alias("copy"), "doc_id", "hash", "text")
+    rows = placed.select("block", F.lit(0).alias("copy"), "doc_id", "hash", "text").union(copies).repartition("block")
+    return rows.sortWithinPartitions("block", "copy", F.col("doc_id").desc_nulls_last(), "hash", "text").drop("hash")
 
 
 def edited(text: str, after: str) -> str:
@@ -187,9 +200,10 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edited text and of the next document.
 
-    One row for each row of ``docs``. The next document is that of the next lower id, of
-    rows with equal ids the one of the greater text; ids that are null come last. Null texts
-    are empty; a single row is its own next document. Only doc_id and text are read.
+    One row for each row of ``docs``. The next document is that of the next lower id;
+    rows of one id stand in the order of a hash of their texts, those without an id come
+    last. Null texts are empty; a single row is its own next document. Only doc_id and text
+    are read.
     """
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -197,4 +211,5 @@ def edit_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints and their likenesses over all documents."""
     return edit_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -129,11 +129,12 @@ def mixed(docs: DataFrame, **names) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the same columns."""
     doc_id, source = names.get("doc_id", "doc_id"), names.get("source", "source")
     _, plan = mix_sources(docs, **names)
-    kept = plan.select(F.col("source").alias("_mix_source"), "whole", "edge")
-    rows = docs.alias("d").join(common.small(kept).alias("p"), F.col(f"d.{source}").eqNullSafe(F.col("p._mix_source")))
-    copies = F.col("p.whole") + (position(F.col(f"d.{doc_id}")) < F.col("p.edge")).cast("int")
+    own, turn = common.fresh(docs, "_mix_source"), common.fresh(docs, "_mix_copy")
+    kept = plan.select(F.col("source").alias(own), "whole", "edge")
+    rows = docs.alias("d").join(common.small(kept).alias("p"), F.col(f"d.`{source}`").eqNullSafe(F.col(f"p.{own}")))
+    copies = F.col("p.whole") + (position(F.col(f"d.`{doc_id}`")) < F.col("p.edge")).cast("int")
     turns = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
-    return rows.select("d.*", F.explode(turns).alias("_mix_copy")).drop("_mix_copy")
+    return rows.select("d.*", F.explode(turns).alias(turn)).drop(turn)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -43,10 +43,11 @@ SKETCH_BITS = 512
 WORDS = SKETCH_BITS // 64
 #: Probability with which a pair at the threshold escapes all buckets, and with which its sketches reject it.
 MISS = 1e-6
-#: Members of a bucket up to which their sketches are compared at once.
-BLOCK = 64
+#: Members of a bucket up to which their sketches are compared at once: about as many
+#: comparisons of 50 ns as take the time of listing a document's shingles.
+BLOCK = 2048
 #: Rows of one key that meet in one place, and places among which a key's rows are dealt while their number is unknown.
-MEET, PLACES = 128, 32
+MEET, PLACES = 256, 32
 
 
 def band_count(percent: int, miss: float = MISS) -> int:
@@ -313,21 +314,27 @@ def _central(lists: DataFrame, percent: int, flips: int) -> DataFrame:
 
 def _meetings(lists: DataFrame, percent: int, flips: int) -> DataFrame:
     """Pairs (x, p, root_x, root_p, flips) of different components that a shingle rare enough leads to."""
-    dealt = cells(lists, "shingle", "node").withColumn("_own", _cell("node"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
-    a = dealt.select("shingle", F.col("_own").alias("_i"), every.alias("_j"), *[F.col(c).alias(f"{c}_x") for c in _END])
-    b = dealt.select("shingle", every.alias("_i"), F.col("_own").alias("_j"), *[F.col(c).alias(f"{c}_p") for c in _END])
-    pairs = a.join(b, ["shingle", "_i", "_j"]).where((F.col("root_x") < F.col("root_p")) & _possible(percent, flips))
+    pairs = _met(lists, "shingle", "node", _END).where((F.col("root_x") < F.col("root_p")) & _possible(percent, flips))
     return pairs.select(*_ordered("node_x", "node_p"), "root_x", "root_p", _flips("sketch_x", "sketch_p").alias("flips")).distinct()
 
 
+def _met(rows: DataFrame, key: str, node: str, columns: tuple[str, ...]) -> DataFrame:
+    """All rows of one key joined with each other, columns named _x and _p. They are dealt into
+    parts of about MEET, and each two parts meet in a place of their own."""
+    dealt = cells(rows, key, node).withColumn("_own", _cell(node))
+    every = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
+    a = dealt.select(key, F.col("_own").alias("_i"), every.alias("_j"), *[F.col(c).alias(f"{c}_x") for c in columns])
+    b = dealt.select(key, every.alias("_i"), F.col("_own").alias("_j"), *[F.col(c).alias(f"{c}_p") for c in columns])
+    return a.join(b, [key, "_i", "_j"])
+
+
 def _within(open_: DataFrame, percent: int, flips: int) -> DataFrame:
     """Pairs (x, p) of different components in one bucket of ``open_`` (bucket, rep, root, n, sketch), by sizes and sketches.
 
-    Buckets have BLOCK members at most, so a member meets no more than that."""
-    a, b = (open_.select("bucket", *[F.col(c).alias(f"{c}_{end}") for c in ("rep", "root", "n", "sketch")]) for end in ("x", "p"))
+    Buckets have BLOCK members at most, so a member is compared with no more than that."""
     alike = _sizes_allow("n_x", "n_p", percent) & (_flips("sketch_x", "sketch_p") <= flips)
-    return a.join(b, "bucket").where((F.col("root_x") < F.col("root_p")) & alike).select(*_ordered("rep_x", "rep_p")).distinct()
+    pairs = _met(open_, "bucket", "rep", ("rep", "root", "n", "sketch")).where((F.col("root_x") < F.col("root_p")) & alike)
+    return pairs.select(*_ordered("rep_x", "rep_p")).distinct()
 
 
 def _same_rows(signed: DataFrame, classes: DataFrame) -> DataFrame:

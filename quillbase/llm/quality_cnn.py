@@ -22,8 +22,8 @@ from . import common
 WIDTH, FILTERS = 4, 24
 #: A chunk is two blocks long and begins at every block.
 BLOCK = 512
-#: Labelled documents to learn from at most (those of the smallest hash) and chunks of each, spread over its length.
-SAMPLE, CHUNKS = 3000, 3
+#: Labelled documents to learn from at most, and bytes of their whole texts: those of the smallest hash.
+SAMPLE, SAMPLE_BYTES = 3000, 16 << 20
 
 
 @dataclass
@@ -57,67 +57,94 @@ def responses(net: Network, data: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class Blocks:
+    """Padded documents cut into blocks: a document has a place for each byte, and one more."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    stops: np.ndarray
+    doc: np.ndarray
+
+    @staticmethod
+    def of(data: np.ndarray, ends: np.ndarray) -> Blocks:
+        own = np.diff(ends) // BLOCK + 1
+        data, ends = padded(data, ends)
+        doc = np.repeat(np.arange(len(own)), own)
+        starts = ends[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)) * BLOCK
+        return Blocks(data, starts, np.minimum(starts + BLOCK, ends[doc + 1] - WIDTH + 1), doc)
+
+    def peaks(self, net: Network, places: bool = False, step: int = 128) -> tuple[np.ndarray, np.ndarray | None]:
+        """The highest response of each filter in each block, and the place where it stands.
+
+        ``step`` blocks at a time, so that the responses stay in cache."""
+        peak = np.empty((len(self.doc), FILTERS), np.float32)
+        where = np.empty((len(self.doc), FILTERS), np.int64) if places else None
+        for a in range(0, len(self.doc), step):
+            b = min(a + step, len(self.doc))
+            first = self.starts[a]
+            values = responses(net, self.data[first : self.stops[b - 1] + WIDTH - 1])
+            if places:
+                for k in range(a, b):
+                    own = values[self.starts[k] - first : self.stops[k] - first]
+                    at = own.argmax(axis=0)
+                    peak[k], where[k] = own[at, np.arange(FILTERS)], at + self.starts[k]
+            else:
+                # What lies between two documents belongs to the pad: the odd cuts.
+                cuts = np.stack([self.starts[a:b] - first, self.stops[a:b] - first], axis=1).ravel()
+                peak[a:b] = np.maximum.reduceat(values, cuts[:-1], axis=0)[::2]
+        return peak, where
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First block, last block and document of each chunk: two neighbouring blocks, or a document's only one."""
+        pair = np.flatnonzero(self.doc[1:] == self.doc[:-1])
+        sizes = np.bincount(self.doc)
+        alone = (np.cumsum(sizes) - 1)[sizes == 1]
+        return np.concatenate([pair, alone]), np.concatenate([pair + 1, alone]), np.concatenate([self.doc[pair], self.doc[alone]])
+
+
 def probabilities(net: Network, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One probability for each document."""
     n = len(ends) - 1
-    own = np.diff(ends) // BLOCK + 1  # blocks: a document has a place for each byte, and one more
-    data, ends = padded(data, ends)
-    doc = np.repeat(np.arange(n), own)
-    turn = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
-    starts = ends[:-1][doc] + turn * BLOCK
-    pooled = np.empty((len(doc), FILTERS), np.float32)
-    step = 128  # blocks at a time, so that the responses stay in cache
-    for a in range(0, len(doc), step):
-        b = min(a + step, len(doc))
-        first = starts[a]
-        last = starts[b] if b < len(doc) and doc[b] == doc[b - 1] else ends[doc[b - 1] + 1] - WIDTH + 1
-        values = responses(net, data[first : last + WIDTH - 1])
-        # Places that reach over a document's end belong to its pad; the next block begins beyond them.
-        cuts = np.stack([starts[a:b] - first, np.append(np.where(doc[a + 1 : b] == doc[a : b - 1], starts[a + 1 : b], ends[doc[a : b - 1] + 1] - WIDTH + 1), last) - first], axis=1)
-        flat = cuts.ravel()
-        pooled[a:b] = np.maximum.reduceat(values, flat[:-1] if flat[-1] >= len(values) else flat, axis=0)[::2]
-    pooled = np.maximum(pooled + net.offset, 0)
-    pair = np.flatnonzero(doc[1:] == doc[:-1])
-    chunk = np.concatenate([np.maximum(pooled[pair], pooled[pair + 1]), pooled[np.cumsum(own)[own == 1] - 1]])
-    owner = np.concatenate([doc[pair], np.flatnonzero(own == 1)])
-    logit = chunk @ net.weights + net.bias
+    blocks = Blocks.of(data, ends)
+    peak, _ = blocks.peaks(net)
+    first, last, owner = blocks.chunks()
+    pooled = np.maximum(np.maximum(peak[first], peak[last]) + net.offset, 0)
+    logit = pooled @ net.weights + net.bias
     mean = np.bincount(owner, logit.astype(float), n) / np.maximum(1, np.bincount(owner, minlength=n))
     return 1 / (1 + np.exp(-np.clip(mean, -40, 40)))
 
 
-def train(chunks: list[np.ndarray], owner: np.ndarray, y: np.ndarray, steps: int = 640, batch: int = 48) -> Network:
-    """Fit by about ``steps`` of Adam, at most 100 passes, on the documents' mean chunk logits. ``chunks``: byte arrays, padded."""
+def train(texts: list[np.ndarray], y: np.ndarray, steps: int = 640, batch: int = 48) -> Network:
+    """Fit by about ``steps`` of Adam, at most 100 passes, on the documents' mean chunk logits: all chunks of whole ``texts``."""
     rng = np.random.default_rng(3)
     if len(np.unique(y)) < 2:
         return constant(float(y.mean()) if len(y) else 0.5)
     net = Network(rng.normal(0, 0.3, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.1, FILTERS).astype(np.float32), 0.0)
     params = [net.filters, net.offset, net.weights, np.zeros(1, np.float32)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    of = [np.flatnonzero(owner == d) for d in range(len(y))]
     epochs = min(100, -(-steps * batch // len(y)))
+    column = np.arange(FILTERS)
     t = 0
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         rate = 0.02 * (1 - epoch / epochs)
         for k in range(0, len(order), batch):
             docs = order[k : k + batch]
-            parts = [c for d in docs for c in of[d]]
-            doc = np.repeat(np.arange(len(docs)), [len(of[d]) for d in docs])
-            peak, where = np.empty((len(parts), FILTERS), np.float32), np.empty((len(parts), FILTERS), np.int64)
-            for i, c in enumerate(parts):
-                values = responses(net, chunks[c])
-                where[i] = values.argmax(axis=0)
-                peak[i] = values[where[i], np.arange(FILTERS)]
-            pooled = np.maximum(peak + params[1], 0)
+            blocks = Blocks.of(np.concatenate([texts[d] for d in docs]), np.concatenate([[0], np.cumsum([len(texts[d]) for d in docs])]))
+            peak, where = blocks.peaks(net, places=True)
+            first, last, doc = blocks.chunks()
+            later = peak[last] > peak[first]
+            place = np.where(later, where[last], where[first])
+            pooled = np.maximum(np.where(later, peak[last], peak[first]) + params[1], 0)
             logit = pooled @ params[2] + params[3][0]
             size = np.bincount(doc, minlength=len(docs))
             p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, logit, len(docs)) / size, -40, 40)))
             off = ((p - y[docs]) / len(docs) / size)[doc].astype(np.float32)
             back = off[:, None] * params[2] * (pooled > 0)
-            grads = [np.zeros_like(net.filters), back.sum(axis=0), off @ pooled + 1e-4 * params[2], np.array([off.sum()], np.float32)]
-            for i, c in enumerate(parts):
-                for j in range(WIDTH):
-                    grads[0][j, chunks[c][where[i] + j], np.arange(FILTERS)] += back[i]
+            cell = np.concatenate([((j * 256 + blocks.data[place + j].astype(np.int64)) * FILTERS + column).ravel() for j in range(WIDTH)])
+            filters = np.bincount(cell, np.tile(back.ravel(), WIDTH), net.filters.size).reshape(net.filters.shape).astype(np.float32)
+            grads = [filters, back.sum(axis=0), off @ pooled + 1e-4 * params[2], np.array([off.sum()], np.float32)]
             t += 1
             for value, grad, (m, v) in zip(params, grads, moments, strict=True):
                 m += 0.1 * (grad - m)
@@ -127,33 +154,26 @@ def train(chunks: list[np.ndarray], owner: np.ndarray, y: np.ndarray, steps: int
     return net
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most CHUNKS chunks of each document, evenly spread from its begin to its end."""
-    for batch in batches:
-        data, ends = common.utf8(batch.column(0))
-        lists = []
-        for d in range(len(ends) - 1):
-            text = np.concatenate([data[ends[d] : ends[d + 1]], np.zeros(WIDTH, np.uint8)])
-            last = max(0, (len(text) - WIDTH) // BLOCK - 1)
-            firsts = sorted({round(x) for x in np.linspace(0, last, CHUNKS)})
-            lists.append([text[f * BLOCK : (f + 2) * BLOCK + WIDTH - 1].tobytes() for f in firsts])
-        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.binary())), batch.column(1)], ["chunks", "quality"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, left_out: int = 0) -> Network:
-    """Learn from at most ``sample`` labelled rows outside the left-out fold; null labels and ids don't count.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, folds: int = 5, left_out: int = 0) -> Network:
+    """Learn from labelled rows outside the left-out fold, whole texts; null labels and ids don't count.
 
-    Of each document at most CHUNKS chunks reach the driver: under 4 KB, however long it is.
-    Without both labels in the sample the network says the share of label 1 (0.5 for none).
+    They are at most ``sample`` rows, in the order of a hash of their ids, while their texts
+    have at most ``sample_bytes`` together, none more than a sixteenth of that: these reach
+    the driver. Without both labels among them the network says the share of label 1 (0.5 for none).
     """
     marked = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL AND id IS NOT NULL")
     marked = marked.where(common.crc_fold(F.col("id"), folds) != left_out).orderBy(F.xxhash64("id"), "id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), F.col("doc_id") == F.col("id")).select("text", "quality", "id")
-    rows = rows.select("text", F.struct("id", "quality").alias("label")).mapInArrow(common.lean(_chunks), "chunks array<binary>, quality struct<id:long,quality:int>")
-    found = sorted(rows.collect(), key=lambda r: (r.quality.id, r.quality.quality, r.chunks))
-    chunks = [np.frombuffer(bytes(c), np.uint8) for r in found for c in r.chunks]
-    owner = np.repeat(np.arange(len(found)), [len(r.chunks) for r in found])
-    return train(chunks, owner, np.array([r.quality.quality for r in found], float))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), F.col("doc_id") == F.col("id"))
+    sized = rows.select("id", "quality", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("key")).orderBy(F.xxhash64("id"), "id", "quality", "key").limit(sample)
+    sized = sized.toPandas()
+    sized = sized[sized["bytes"] <= sample_bytes // 16]
+    within = sized[sized["bytes"].cumsum() <= sample_bytes]
+    if not len(within):
+        return train([], np.zeros(0))
+    chosen = docs.sparkSession.createDataFrame(within[["id", "quality", "key"]], "id long, quality int, key long").distinct()
+    rows = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "quality", "key"]).select("id", "quality", F.col("text").cast("binary").alias("text"))
+    found = rows.distinct().toPandas().sort_values(["id", "quality", "text"], kind="stable")
+    return train([np.frombuffer(bytes(t), np.uint8) for t in found["text"]], found["quality"].to_numpy(float))
 
 
 def _score(net: Network):
@@ -179,6 +199,7 @@ def quality(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted over all documents."""
     common.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

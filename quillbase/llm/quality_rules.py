@@ -116,7 +116,7 @@ def _covers(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndarr
 
 def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
     rule, hit = [], np.ones(len(bad), bool)
-    while len(rule) < 4 and (~bad & hit).any():
+    while (~bad & hit).any():
         p0, n0 = (bad & hit).sum(), (~bad & hit).sum()
         best, best_gain = None, 1e-9
         for name, values in x.items():
@@ -140,11 +140,13 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.8, support: int = 4) -> list[list[Condition]]:
     """Ordered conjunctions that reject. A rule is kept while, on the rows set aside for
-    pruning, at least ``precision`` of what it covers is bad, and it covers ``support`` bad rows in all."""
+    pruning, at least ``precision`` of what it covers is bad, and it covers ``support`` bad rows in all.
+
+    A rule grows while a condition gains; rules are added while one is kept."""
     rules: list[list[Condition]] = []
     aside = np.arange(len(bad)) % 3 == 0
     open_ = np.ones(len(bad), bool)
-    while (bad & open_).sum() >= support and len(rules) < 16:
+    while (bad & open_).sum() >= support:
         g, p = open_ & ~aside, open_ & aside
         rule = _grow({k: v[g] for k, v in x.items()}, bad[g])
         if not rule:
@@ -208,5 +210,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """doc_id, counts, base_failed, kept and the rejecting rule over all documents."""
     rows = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

@@ -9,13 +9,17 @@ hold a digit. A window of ``WINDOW`` characters slides over the run; the counts
 its characters are kept and changed by one character out and one in, and with them
 the sum of c * log2(c), from which the window's Shannon entropy follows. Each
 character class has its own bar. Runs on the allow list (identifiers, paths,
-numbers, placeholders, dashed words) and runs that base spans cover add nothing; a
-run that reaches beyond them is a span of its own, whole.
+numbers, dashed words, runs that begin or end as placeholders do) and runs that base
+spans cover add nothing; a run that reaches beyond them is a span of its own, whole.
+
+Running sums over a text's matches are taken in blocks of about the root of their
+number, so a text of many matches costs little more than their count.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +44,33 @@ BARS = (("hex", r"^[0-9A-Fa-f]+$", 2.9), ("alnum", r"^[A-Za-z0-9]+$", 3.6), ("ba
 ALLOWED = (
     r"^[0-9+/_=-]+$",  # numbers, dates, phone numbers
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",  # UUID
-    r"(?i:example|sample|dummy|placeholder|changeme|lorem|test|x{4}|0{6}|1234567|abcdef)",  # placeholders
+    r"(?i:^(example|sample|dummy|placeholder|changeme|lorem|test|xxxx|000000|1234567|abcdef)|(example|sample|dummy|placeholder|changeme|lorem|test|xxxx|000000|1234567|abcdef)$)",  # placeholders
     r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))+$",  # dashed words and numbers
     r"^[A-Za-z][a-z]+[0-9]{1,4}$",  # a long word and a number
 )
 #: What no word, number, or word with a number behind it holds. A run with a slash and without these is a path or address.
-NO_WORD = r"[0-9][A-Za-z]|[A-Za-z][0-9]{5}|[a-z][A-Z](?![a-z])|([A-Z][a-z]){2}[A-Z]|[A-Z]{2}[a-z]"
-#: The oracle's allow list takes any run with these slashes for a path.
-ORACLE_ALLOWED = "|".join((*ALLOWED[:3], r"^/|//|^[A-Za-z0-9]+(/[A-Za-z0-9_=-]+){3,}$", *ALLOWED[3:]))
+NO_WORD = r"[0-9][A-Za-z]|[A-Za-z][0-9]{5}|[a-z][A-Z]([^a-z]|$)|([A-Z][a-z]){2}[A-Z]|[A-Z]{2}[a-z]"
+
+
+def before(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of the integers ``values``, 0 combined with all that stand before it: a running sum or maximum.
+
+    In blocks of the root of their number: an array that grows by one entry at a time is
+    copied each time, so one fold over n of them would take n^2.
+    """
+    empty = F.array().cast("array<int>")
+
+    def fold(items: Column, start: Column) -> Column:
+        step = lambda s, v: F.struct(combine(s["at"], v).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(items, F.struct(start.alias("at"), empty.alias("out")), step, lambda s: s["out"])
+
+    def blocked(values: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(values))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(values), width), lambda k: F.slice(values, k, width))
+        totals = lambda blocks: fold(F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), combine)), F.lit(0))
+        return once(blocks, lambda blocks: F.flatten(F.zip_with(blocks, totals(blocks), fold)))
+
+    return once(values, lambda v: F.when(F.size(v) <= 16, fold(v, F.lit(0))).otherwise(blocked(v)))
 
 
 def spans_of(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -57,44 +80,51 @@ def spans_of(text: Column, pattern: str, group: int, least: int) -> Column:
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), bodies.alias("body"))
     empty = F.array().cast("array<struct<start:int,end:int,body:string>>")
 
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part["gap"])
-        end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), part["body"].alias("body"))
-        keep = part["hit"].isNotNull() & (F.length(part["body"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        starts = before(F.transform(parts, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))), lambda a, b: a + b)
+
+        def span(part: Column, at: Column) -> Column:
+            start = at + F.length(part["gap"])
+            return F.struct(start.alias("start"), (start + F.length(part["hit"])).alias("end"), part["body"].alias("body"))
+
+        return F.filter(F.zip_with(parts, starts, span), lambda s: s["end"].isNotNull() & (F.length(s["body"]) >= least))
+
+    return F.when(text.rlike(pattern), once(parts, placed)).otherwise(empty)
 
-    folded = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty)
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def peak_entropy(run: Column) -> Column:
     """The highest Shannon entropy, in bits a character, of any window of ``run``."""
     table = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
-    codes = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    kinds = F.sequence(F.lit(1), F.lit(len(ALPHABET)))
+    f = lambda c: F.element_at(table, c + 1)
 
-    def start(codes: Column) -> Column:
-        head = F.slice(codes, 1, WINDOW)
-        counts = F.transform(kinds, lambda k: F.size(F.filter(head, lambda c: c == k)))
-        total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.element_at(table, c + 1))
-        return F.struct(counts.alias("counts"), total.alias("total"), total.alias("least"))
+    def lowest(chars: Column, own: Column) -> Column:
+        """The least sum of c * log2(c) over the windows of ``chars``, whose distinct characters are ``own``."""
+        codes = F.transform(chars, lambda c: F.array_position(own, c).cast("int"))
+        head = F.slice(chars, 1, WINDOW)
+        counts = F.transform(own, lambda k: F.size(F.filter(head, lambda c: c == k)))
+        total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + f(c))
+        start = F.struct(counts.alias("counts"), total.alias("total"), total.alias("least"))
 
-    def slide(codes: Column) -> Column:
-        pairs = F.when(F.size(codes) > WINDOW, F.arrays_zip(F.slice(codes, 1, F.size(codes) - WINDOW).alias("out"), F.slice(codes, WINDOW + 1, F.size(codes)).alias("into")))
-        pairs = F.coalesce(pairs, F.array().cast("array<struct<out:int,into:int>>"))
+        def slides(codes: Column) -> Column:
+            pairs = F.when(F.size(codes) > WINDOW, F.arrays_zip(F.slice(codes, 1, F.size(codes) - WINDOW).alias("out"), F.slice(codes, WINDOW + 1, F.size(codes)).alias("into")))
+            return F.coalesce(pairs, F.array().cast("array<struct<out:int,into:int>>"))
 
         def step(s: Column, p: Column) -> Column:
             lost, won = F.element_at(s["counts"], p["out"]), F.element_at(s["counts"], p["into"])
-            f = lambda c: F.element_at(table, c + 1)
             total = s["total"] - f(lost) + f(lost - 1) - f(won) + f(won + 1)
             counts = F.transform(s["counts"], lambda c, i: c - (i + 1 == p["out"]).cast("int") + (i + 1 == p["into"]).cast("int"))
             moved = F.struct(counts.alias("counts"), total.alias("total"), F.least(s["least"], total).alias("least"))
             return F.when(p["out"] == p["into"], s).otherwise(moved)
 
-        return F.aggregate(pairs, start(codes), step, lambda s: s["least"])
+        return F.aggregate(once(codes, slides), start, step, lambda s: s["least"])
 
-    least = F.aggregate(F.array(codes), F.lit(0.0), lambda _, c: slide(c))
+    chars = F.filter(F.split(run, ""), lambda c: c != "")
+    least = once(chars, lambda c: once(F.array_distinct(c), lambda own: lowest(c, own)))
     return F.lit(math.log2(WINDOW)) - least / F.lit(float(WINDOW))
 
 
@@ -150,15 +180,15 @@ def listed(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, overlapping ones joined, replaced by ``mark``."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with every span, overlapping ones joined, replaced by ``mark``. A null text stays null."""
 
-    def step(s: Column, span: Column) -> Column:
-        gap = F.when(span["start"] >= s["at"], F.concat(F.substring(text, s["at"] + 1, span["start"] - s["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
+    def pieces(spans: Column) -> Column:
+        reach = before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        gap = lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mark))).otherwise(F.lit(""))
+        tail = F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text))
+        return F.concat(F.array_join(F.zip_with(spans, reach, gap), ""), tail)
 
-    tail = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, step, tail)).otherwise(text)
+    return F.when(F.size(spans) > 0, once(spans, pieces)).otherwise(text)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -170,12 +200,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The query in the oracle's SQL. It has no lookaround, so runs are cut first and tested after.
-
-    Its allow list drops runs by their slashes alone, which ``is_path`` does not, and
-    runs whose first digit stands after more than 200 other characters, which ``RUN`` does not.
-    It also drops runs that meet a base span, not only those that base spans cover.
-    """
+    """The query in the oracle's SQL. It has no lookaround, so runs are cut first and tested after."""
     pattern = {
         "assign": r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
         "access": "AKIA[A-Z0-9]+",
@@ -192,14 +217,19 @@ def _oracle() -> str:
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
     SELECT doc_id, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {group}) AS bodies, regexp_split_to_array(text, '{p}') AS gaps FROM d))
   WHERE length(bodies[i]) >= {least[name]}""")
-    bar = "CASE " + " ".join(f"WHEN regexp_matches(body, '{p}') THEN {bits}" for _, p, bits in BARS) + " END"
-    windows = f"list_max(list_transform(range(1, length(body) - {WINDOW} + 2), lambda j: list_aggregate(string_split(substr(body, j, {WINDOW}), ''), 'entropy')))"
+    bar = lambda x: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN {bits}" for _, p, bits in BARS) + " END"
+    windows = lambda x: f"list_max(list_transform(range(1, length({x}) - {WINDOW} + 2), lambda j: list_aggregate(string_split(substr({x}, j, {WINDOW}), ''), 'entropy')))"
+    dense = f"len(list_filter(regexp_split_to_array(body, '[-_/=+]+'), lambda x: length(x) >= {WINDOW} AND {windows('x')} >= {bar('x')})) > 0"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 every AS ({" UNION ALL ".join(parts)}),
 s AS (SELECT doc_id, rank, kind, CAST(a AS BIGINT) AS a, CAST(a + length(hit) AS BIGINT) AS b, body FROM every),
-runs AS (SELECT * FROM s WHERE kind = 'entropy' AND regexp_matches(body, '^[A-Za-z+/_=-]{{0,200}}[0-9]') AND regexp_matches(body, '[A-Za-z]') AND NOT regexp_matches(body, '{ORACLE_ALLOWED}')),
-odd AS (SELECT * FROM runs WHERE {windows} >= {bar} AND NOT EXISTS (SELECT 1 FROM s AS o WHERE o.doc_id = runs.doc_id AND o.kind <> 'entropy' AND o.a < runs.b AND runs.a < o.b)),
+runs AS (SELECT * FROM s WHERE kind = 'entropy' AND regexp_matches(body, '[0-9]') AND regexp_matches(body, '[A-Za-z]') AND NOT regexp_matches(body, '{"|".join(ALLOWED)}')),
+joined AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (
+  SELECT *, sum(CASE WHEN a <= until THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a, rank) AS part FROM (
+    SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM s WHERE kind <> 'entropy')) GROUP BY doc_id, part),
+odd AS (SELECT * FROM runs WHERE {windows("body")} >= {bar("body")} AND NOT (contains(body, '/') AND NOT regexp_matches(body, '{NO_WORD}') AND NOT {dense})
+  AND NOT EXISTS (SELECT 1 FROM joined AS o WHERE o.doc_id = runs.doc_id AND o.a <= runs.a AND runs.b <= o.b)),
 spans AS (SELECT doc_id, rank, kind, a, b FROM s WHERE kind <> 'entropy' UNION ALL SELECT doc_id, rank, kind, a, b FROM odd),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind <> 'entropy') AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans

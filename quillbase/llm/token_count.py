@@ -8,13 +8,14 @@ and the count up to it. These make a finite set of states. A transition by one c
 point carries the change of the count: the transducer's output. States are compiled
 when first met and kept in a table for all later texts.
 
-Texts are cut into chunks of equal length anywhere. All chunks of a batch run in step,
-one table look-up for a code point of each. A chunk's state map (entering state to
-leaving state and count) is first taken at the start state. The maps are then composed
-over each document by a scan in rounds: every chunk whose entering state turns out to
-be another one than assumed extends its map, in parallel, until nothing changes. Runs
-of a chunk join as soon as their states agree, mostly at the next word, so a second
-run costs a few steps.
+Texts are cut into chunks of equal length anywhere. A chunk's state map says, for each
+state in which it may be entered, in which one it is left and how the count changes. All
+chunks run in step, one table look-up for a code point of each: first from the start
+state, then from every other state in which some map of the chunk before leaves, until no
+map lacks an entry. A run ends where it meets the first one of its chunk, mostly at the
+next word. The maps are then composed by a parallel prefix scan: in each round every map
+is joined with that of as many chunks again behind it, so that a text takes rounds by the
+logarithm of its length.
 
 Pieces of blanks only are merged after all others and from the left, so the tokens of a
 run of blanks depend on its length alone, with the longest such piece as the period.
@@ -36,8 +37,11 @@ from . import common, kernels
 BLANK = "▁"
 CHUNK = 512
 NEVER = 1 << 30
-#: States after which the compiled tables are dropped and begun anew: bounds a worker's memory.
-MOST_STATES = 120_000
+#: Code points that run at once, and compiled transitions after which the tables are begun anew: they bound a
+#: worker's memory, whatever the texts (28 bytes a transition, and about a kilobyte a state, of which there are fewer).
+SEGMENT, MOST_CELLS = 1 << 20, 1 << 19
+#: Bits of a symbol's number in the key of a transition.
+SYMBOL_BITS = 21
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -184,6 +188,41 @@ class Pieces:
         return 1 if token in self.rank else len(token.encode())
 
 
+class Cells:
+    """Transitions by state and symbol, in an open-addressed table: its size follows their number."""
+
+    def __init__(self, room: int = 1 << 14):
+        self.room, self.used = room, 0
+        self.keys, self.next, self.out = np.full(room, -1, np.int64), np.zeros(room, np.int32), np.zeros(room, np.int16)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, or the free place where it would."""
+        at = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.room.bit_length() + 1)).astype(np.int64)
+        there = self.keys[at]
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (self.room - 1)
+            there = self.keys[at[other]]
+            other = other[(there != keys[other]) & (there >= 0)]
+        return at
+
+    def enter(self, keys: np.ndarray, to: np.ndarray, change: np.ndarray) -> None:
+        """Add transitions whose keys, all different, the table lacks."""
+        if 2 * (self.used + len(keys)) > self.room:
+            old = self.keys >= 0
+            held = self.keys[old], self.next[old], self.out[old]
+            self.__init__(self.room * 2 ** max(1, int(np.ceil(np.log2(2 * (self.used + len(keys)) / self.room)))))
+            self.enter(*held)
+        self.used += len(keys)
+        while len(keys):
+            at = self.places(keys)
+            _, first = np.unique(at, return_index=True)
+            self.keys[at[first]], self.next[at[first]], self.out[at[first]] = keys[first], to[first], change[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, to, change = keys[rest], to[rest], change[rest]
+
+
 class Transducer:
     """Compiled states and transitions, extended while texts run through.
 
@@ -201,11 +240,10 @@ class Transducer:
     def reset(self) -> None:
         self.class_of[:] = -1
         self.symbols: list[str | int] = []
+        self.symbol_numbers: dict[str | int, int] = {}
         self.states: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        self.width, self.room = 128, 4096
-        self.next = np.full(self.width * self.room, -1, np.int32)
-        self.out = np.zeros(self.width * self.room, np.int16)
+        self.cells = Cells()
         self.start = self.number(self.blank_state(1))
 
     def blank_state(self, blanks: int) -> tuple:
@@ -217,18 +255,8 @@ class Transducer:
         if state not in self.numbers:
             self.numbers[state] = len(self.states)
             self.states.append(state)
-            if len(self.states) > self.room:
-                self.resize(self.width, self.room * 2)
         return self.numbers[state]
 
-    def resize(self, width: int, room: int) -> None:
-        for name, empty in (("next", -1), ("out", 0)):
-            old = getattr(self, name).reshape(self.room, self.width)
-            new = np.full((room, width), empty, old.dtype)
-            new[: self.room, : self.width] = old
-            setattr(self, name, new.ravel())
-        self.width, self.room = width, room
-
     def classes(self, points: np.ndarray) -> np.ndarray:
         """Symbol numbers of code points; unknown ones share a number by their length in bytes."""
         own = self.class_of[points]
@@ -236,11 +264,10 @@ class Transducer:
             for point in np.unique(points[own < 0]).tolist():
                 char = BLANK if point == 32 else chr(point)
                 symbol = char if char in self.pieces.letters else len(char.encode())
-                if symbol not in self.symbols:
+                if symbol not in self.symbol_numbers:
+                    self.symbol_numbers[symbol] = len(self.symbols)
                     self.symbols.append(symbol)
-                self.class_of[point] = self.symbols.index(symbol)
-            if len(self.symbols) > self.width:
-                self.resize(self.width * 2 ** int(np.ceil(np.log2(len(self.symbols) / self.width))), self.room)
+                self.class_of[point] = self.symbol_numbers[symbol]
             own = self.class_of[points]
         return own
 
@@ -272,81 +299,113 @@ class Transducer:
                 kept.append(place)
         return (None, text[len(text) + 1 - len(kept) :], tuple(kept)), change
 
-    def compile(self, cells: np.ndarray) -> None:
-        """Fill the table at ``cells``: state * width + symbol."""
-        for cell in np.unique(cells).tolist():
-            state, symbol = divmod(cell, self.width)
-            to, change = self.step(self.states[state], self.symbols[symbol])
-            room, number = self.room, self.number(to)
-            if self.room != room:
-                cell = state * self.width + symbol
-            self.next[cell], self.out[cell] = number, change
-
-    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray, path: np.ndarray | None, known: np.ndarray | None):
-        """Run chunks in step, longest first. Returns leaving states and counts.
-
-        ``path`` (steps x chunks) gets the states before each step. With ``known``, the
-        exits and counts of the run that ``path`` now holds, a chunk ends its run
-        where it meets that one.
+    def compile(self, keys: np.ndarray) -> None:
+        """Enter the transitions of ``keys``: state and symbol."""
+        keys = np.unique(keys)
+        found = [self.step(self.states[key >> SYMBOL_BITS], self.symbols[key & ((1 << SYMBOL_BITS) - 1)]) for key in keys.tolist()]
+        self.cells.enter(keys, np.array([self.number(to) for to, _ in found], np.int32), np.array([change for _, change in found], np.int16))
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray, path: np.ndarray, sums: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """Run chunks in step. Returns leaving states and counts.
+
+        ``path`` and ``sums`` (steps x chunks) get the states and counts before each step. With
+        ``known``, the leaving states and counts of the runs that they already hold, they
+        are only read, and a chunk ends its run where it meets that one.
         """
-        state, count = entry.copy(), np.zeros(len(entry), np.int64)
+        state, count = entry.copy(), np.zeros(len(entry), np.int32)
         leave, total = entry.copy(), np.zeros(len(entry), np.int64)
         lanes = np.arange(len(entry))
-        before = np.zeros(len(entry), np.int64)
         for k in range(int(lengths.max(initial=0))):
-            going = lengths[lanes] > k
+            ended = lengths[lanes] <= k
+            if known is None:
+                path[k, lanes], sums[k, lanes] = state, count
+            else:
+                met = ~ended & (path[k, lanes] == state)
+                there = lanes[met]
+                leave[there], total[there] = known[0][there], count[met] + known[1][there] - sums[k, there]
+            there = lanes[ended]
+            leave[there], total[there] = state[ended], count[ended]
             if known is not None:
-                met = going & (path[k, lanes] == state)
-                if k and met.any():
-                    there = lanes[met]
-                    leave[there], total[there] = known[0][there], count[met] + known[1][there] - before[met]
-                    lanes, state, count, before, going = (x[~met] for x in (lanes, state, count, before, going))
-            if not going.all():
-                ended = lanes[~going]
-                leave[ended], total[ended] = state[~going], count[~going]
-                lanes, state, count, before = (x[going] for x in (lanes, state, count, before))
+                ended |= met
+            if ended.any():
+                lanes, state, count = lanes[~ended], state[~ended], count[~ended]
             if not len(lanes):
                 return leave, total
-            symbol = symbols[starts[lanes] + k]
-            cell = state.astype(np.int64) * self.width + symbol
-            to = self.next[cell]
-            if (missing := to < 0).any():
-                self.compile(cell[missing])
-                to = self.next[cell]
-            if known is not None:
-                before += self.out[path[k, lanes].astype(np.int64) * self.width + symbol]
-            path[k, lanes] = state
-            count += self.out[cell]
-            state = to
+            key = state.astype(np.int64) << SYMBOL_BITS | symbols[starts[lanes] + k]
+            at = self.cells.places(key)
+            missing = self.cells.keys[at] != key
+            if missing.any():
+                self.compile(key[missing])
+                at = self.cells.places(key)
+            state, count = self.cells.next[at], count + self.cells.out[at]
         leave[lanes], total[lanes] = state, count
         return leave, total
 
-    def counts(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each document of ``points`` (code points, with n + 1 offsets)."""
-        if len(self.states) > MOST_STATES:
-            self.reset()
+    def scan(self, points: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, leaving state) of each text of ``points``, none of them empty, entered in the states ``first``."""
         size = np.diff(ends)
         own = -(-size // CHUNK)
         doc = np.repeat(np.arange(len(size)), own)
-        if not len(doc):
-            return np.zeros(len(size), np.int64)
-        turn = np.arange(len(doc)) - np.repeat(np.cumsum(own) - own, own)
+        heads = np.cumsum(own) - own
+        turn = np.arange(len(doc)) - heads[doc]
         starts = ends[:-1][doc] + turn * CHUNK
         lengths = np.minimum(CHUNK, ends[1:][doc] - starts)
         symbols = self.classes(points)
-        entry = np.full(len(doc), self.start, np.int32)
-        path = np.zeros((CHUNK, len(doc)), np.int32)
-        leave, total = self.run(symbols, starts, lengths, entry, path, None)
+        # The entries of all maps: chunk << 32 | entering state, with leaving state and count.
+        state = np.full(len(doc), self.start, np.int32)
+        state[heads] = first
+        path, sums = np.zeros((CHUNK, len(doc)), np.int32), np.zeros((CHUNK, len(doc)), np.int32)
+        chunk = np.arange(len(doc))
+        leave, total = base = self.run(symbols, starts, lengths, state, path, sums, None)
+        entries = chunk << 32 | state
+        inner = np.append(doc[1:] == doc[:-1], False)  # another chunk of the text follows
+        new = chunk, leave
         while True:
-            true = np.where(turn > 0, np.concatenate([entry[:1], leave[:-1]]), self.start).astype(np.int32)
-            odd = np.flatnonzero(true != entry)
-            if not len(odd):
+            ahead = inner[new[0]]
+            need = np.setdiff1d((new[0][ahead] + 1) << 32 | new[1][ahead], entries)
+            if not len(need):
                 break
-            entry[odd] = true[odd]
-            part = np.ascontiguousarray(path[:, odd])
-            leave[odd], total[odd] = self.run(symbols, starts[odd], lengths[odd], entry[odd], part, (leave[odd], total[odd]))
-            path[:, odd] = part
-        return np.bincount(doc, weights=total, minlength=len(size)).astype(np.int64) + (size > 0)
+            at, state = need >> 32, (need & 0xFFFFFFFF).astype(np.int32)
+            new_leave, new_total = self.run(symbols, starts[at], lengths[at], state, path[:, at], sums[:, at], (base[0][at], base[1][at]))
+            entries, leave, total = np.concatenate([entries, need]), np.concatenate([leave, new_leave]), np.concatenate([total, new_total])
+            new = at, new_leave
+        order = np.argsort(entries)
+        entries, leave, total = entries[order], leave[order], total[order]
+        # The scan: entry e stands for the map of its chunk and those up to ``after``, where it goes on.
+        chunk = entries >> 32
+        after = np.where(inner[chunk], np.searchsorted(entries, (chunk + 1) << 32 | leave), -1)
+        while (going := np.flatnonzero(after >= 0)).size:
+            to = after[going]
+            total[going], leave[going], after[going] = total[going] + total[to], leave[to], after[to]
+        at = np.searchsorted(entries, heads << 32 | first)
+        return total[at], leave[at]
+
+    def counts(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each document of ``points`` (code points, with n + 1 offsets).
+
+        SEGMENT code points run at once; a longer document goes on in the state it has reached.
+        """
+        out = np.zeros(len(ends) - 1, np.int64)
+        full = np.flatnonzero(np.diff(ends))
+        out[full] = 1
+        stops = ends[full + 1]
+        i, reached = 0, ends[full[0]] if len(full) else 0
+        state = None
+        while i < len(full):
+            if self.cells.used > MOST_CELLS:
+                self.reset()
+            j = max(i + 1, int(np.searchsorted(stops, reached + SEGMENT, "right")))
+            bounds = np.concatenate([[reached], stops[i:j]])
+            bounds[-1] = min(bounds[-1], reached + SEGMENT) if j == i + 1 else bounds[-1]
+            first = np.full(j - i, self.start, np.int32)
+            if state is not None:
+                first[0] = self.number(state)
+            total, leave = self.scan(points[reached : bounds[-1]], bounds - reached, first)
+            out[full[i:j]] += total
+            reached = bounds[-1]
+            state = self.states[leave[-1]] if reached < stops[j - 1] else None
+            i = j if state is None else i
+        return out
 
 
 _compiled: dict[str, Transducer] = {}
@@ -370,7 +429,7 @@ def _count(content):
         machine = transducer(content.value)
         for batch in batches:
             data, ends = common.utf8(batch.column(1))
-            for i, j in common.slices(ends, 2 << 20):
+            for i, j in common.slices(ends, SEGMENT):
                 points, bounds = code_points(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(ends[i : j + 1])), pa.array(machine.counts(points, bounds))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens"])
@@ -395,6 +454,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit over all documents."""
     import public_tokenizers
 
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

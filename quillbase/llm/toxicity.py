@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are n-grams of 4, 6 and 8 bytes of the text, lower-cased in A-Z. Counted once
-a document over the labelled sample, each has a log ratio of its rates in toxic and in
-other documents. The features that tell the classes apart best are kept, scaled by
-their ratio, and a regularized logistic regression is fitted on them. A document's score
-needs one packed-integer look-up a byte and n-gram length.
+Features are n-grams of 4, 6 and 8 characters (code points, lower-cased in A-Z), by a 64-bit
+hash. Counted once a document over the labelled sample, each has a log ratio of its rates
+in toxic and in other documents. The features that tell the classes apart best are kept,
+scaled by their ratio, and a regularized logistic regression is fitted on them. A
+document's score needs one look-up a character and n-gram length.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, kernels
+from .token_count import code_points
 
 LENGTHS = (4, 6, 8)
-#: Labelled rows to learn from at most (those of the smallest hash), and features kept.
+#: Labelled rows to learn from at most (those of the smallest hash), and features kept: those furthest apart.
 SAMPLE, FEATURES = 8000, 4096
 #: Tasks that count the sample's n-grams: a few hundred documents each.
 TASKS = 32
@@ -31,20 +32,26 @@ FILTER_BITS = 22
 U = np.uint64
 
 
-def packed(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, keys): the n bytes from each place as one number, for the LENGTHS."""
-    low = np.concatenate([kernels.LOWER[data], np.zeros(8, np.uint8)]).astype(np.uint64)
-    m = len(data)
-    four = low[: m + 4] | low[1 : m + 5] << U(8) | low[2 : m + 6] << U(16) | low[3 : m + 7] << U(24)
+def characters(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, lower-cased in A-Z, and their n + 1 offsets."""
+    return code_points(kernels.LOWER[data], ends)
+
+
+def packed(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, keys): a hash of the n code points from each place, for the LENGTHS; zeros follow the last one."""
+    m = len(points)
+    wide = np.concatenate([points.astype(np.uint64), np.zeros(8, np.uint64)])
+    two = kernels.mix(wide[:-1] | wide[1:] << U(21))
+    four = kernels.mix(two[: m + 4] * U(0xD6E8FEB86659FD93) + two[2 : m + 6])
     yield 4, four[:m]
-    yield 6, four[:m] | (four[4:] & U(0xFFFF)) << U(32)
-    yield 8, four[:m] | four[4:] << U(32)
+    yield 6, kernels.mix(four[:m] * U(0x9FB21C651E98DF25) + two[4 : m + 4])
+    yield 8, kernels.mix(four[:m] * U(0x9E3779B97F4A7C15) + four[4:])
 
 
-def present(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def present(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of each document: keys and n + 1 offsets."""
     parts: list[list[np.ndarray]] = [[] for _ in ends[1:]]
-    for n, keys in packed(data):
+    for n, keys in packed(points):
         for d in range(len(ends) - 1):
             parts[d].append(keys[ends[d] : max(ends[d], ends[d + 1] - n + 1)])
     lists = [np.unique(np.concatenate(p)) for p in parts]
@@ -68,11 +75,11 @@ class Model:
     def slot(keys: np.ndarray) -> np.ndarray:
         return (keys * U(0x9E3779B97F4A7C15)) >> U(64 - FILTER_BITS)
 
-    def found(self, data: np.ndarray, ends: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, points: np.ndarray, ends: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document, feature) once for each feature that a document holds, ordered."""
         pairs = [np.zeros(0, np.int64)]
         size = max(1, len(self.keys))
-        for n, keys in packed(data):
+        for n, keys in packed(points):
             at = np.flatnonzero(seen[self.slot(keys)])
             doc = np.searchsorted(ends, at, "right") - 1
             own = keys[at]
@@ -92,7 +99,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, ends = common.utf8(batch.column(0))
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j in common.slices(ends, 1 << 19):
-            keys, bounds = present(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+            keys, bounds = present(*characters(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]))
             yes = np.repeat(toxic[i:j], np.diff(bounds))
             both, back = np.unique(keys, return_inverse=True)
             n, pos = np.bincount(back, minlength=len(both)), np.bincount(back, yes, len(both)).astype(np.int64)
@@ -104,7 +111,7 @@ def _lookup(model: Model):
         seen = model.seen()
         for batch in batches:
             data, ends = common.utf8(batch.column(0))
-            doc, feature = model.found(data, ends, seen)
+            doc, feature = model.found(*characters(data, ends), seen)
             bounds = np.searchsorted(doc, np.arange(len(ends))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(bounds), pa.array(feature.astype(np.int32)))], ["toxic", "features"])
 
@@ -160,8 +167,8 @@ def _score(model: Model):
         for batch in batches:
             data, ends = common.utf8(batch.column(0))
             out = np.zeros(len(ends) - 1)
-            for i, j in common.slices(ends):
-                doc, feature = model.found(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], seen)
+            for i, j in common.slices(ends, 1 << 19):
+                doc, feature = model.found(*characters(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]), seen)
                 out[i:j] = _sigmoid(np.bincount(doc, model.weights[feature], j - i) + model.bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[str(k) for k in range(batch.num_columns + 1)])
 
@@ -185,6 +192,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "toxi
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted over all documents."""
     common.prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -4,6 +4,7 @@ import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillbase.llm import common, queries
@@ -50,6 +51,19 @@ def test_stages_take_odd_rows(spark):
     assert docs.where("not round_trip").count() == 0
 
 
+def test_stages_keep_clashing_columns(spark):
+    extra = {"_gone": 1, "_toxicity": 2, "_secrets": "s", "_mix_copy": 3, "_mix_source": "m", "_sha": "h", "_bytes": 4, "_decoded": 5, "_token_ids": 6, "n_tokens": 7, "kept": True, "hash": 8, "block": 9}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("*", *[F.lit(v).alias(k) for k, v in extra.items()])
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = common.settle(stage(spark, docs, SF))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == docs.columns and out.count() > 0
+            assert out.select(*extra).distinct().collect() == docs.select(*extra).distinct().collect()
+        else:
+            assert set(docs.columns) - {"text"} <= set(out.columns) and len(set(out.columns)) == len(out.columns) and out.where("not round_trip or n_tokens = 7").count() < out.count()
+        docs = out
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries(spark, name):
     rows = queries.QUERIES[name](spark, SF).collect()

@@ -6,7 +6,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillbase.llm import byte_bpe, fingerprints, kernels, neardup, quality_rules, token_count
 
@@ -196,6 +198,35 @@ def test_edits_of_repeated_and_null_ids(spark):
     assert fingerprints.edit_likeness(docs(spark, rows).where("false")).count() == 0
 
 
+def test_rows_of_one_id_and_without_ids_are_dealt(spark):
+    rows = [(5, f"text {k}") for k in range(900)] + [(None, f"other {k}") for k in range(900)] + [(k * 1000, f"single {k}") for k in range(1, 100)] + [(5, None)]
+    placed = fingerprints.with_next(docs(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    most = placed.where("copy = 0").groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert most <= fingerprints.BLOCK_ROWS
+    got = fingerprints.edit_likeness(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+    # The last third of each edited text comes from its successor: every text is followed by another one, in one circle.
+    texts = {hashlib.sha256((t or "").encode()).hexdigest(): t for _, t in rows}
+    assert not any(r.edited_sha256 in texts for r in got if r.n_chars > 20)
+
+
+def test_sketches_rebuilt_by_hand():
+    """A sketch holds the hashes below a quarter of the range of a text's shingles, each hashed alone."""
+    texts = [t or "" for t in random_texts(80, seed=31)]
+    for text, sketch in zip(texts, fingerprints.sketches(texts), strict=True):
+        own = shingles(text)
+        alone = []
+        for gram in own:
+            data = np.frombuffer(" ".join(gram).encode(), np.uint8)
+            alone += kernels.shingles(data, np.array([0, len(data)]))[0].tolist()
+        assert sketch.shingles == len(own) and sketch.kept.tolist() == sorted(k >> 30 for k in alone if k < 1 << 62)
+
+
+def test_likeness_of_short_texts():
+    a, b, c = fingerprints.sketches(["one two three", "ONE  two three", "one two four"])
+    assert a.likeness(b) == 1 and a.likeness(c) in (0, 1) and a.text() == b.text() and a.text() != c.text()
+
+
 def test_containment_of_unequal_documents(spark):
     words = [f"w{k}" for k in range(6000)]
     long, part, other = fingerprints.sketches([" ".join(words), " ".join(words[1000:1800]), " ".join(reversed(words))])
@@ -245,7 +276,10 @@ def test_chunk_maps_compose(monkeypatch):
     for size in (1, 3, 7, 64):
         monkeypatch.setattr(token_count, "CHUNK", size)
         assert machine.counts(*points).tolist() == whole.tolist()
-    monkeypatch.setattr(token_count, "MOST_STATES", 10)
+    for segment in (1, 10, 100):
+        monkeypatch.setattr(token_count, "SEGMENT", segment)
+        assert machine.counts(*points).tolist() == whole.tolist()
+    monkeypatch.setattr(token_count, "MOST_CELLS", 10)
     assert machine.counts(*points).tolist() == whole.tolist() and machine.counts(*points).tolist() == whole.tolist()
 
 
@@ -272,21 +306,40 @@ def library():
     return tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_merge_replay_against_the_library():
-    encoder = byte_bpe.Encoder(byte_bpe.read_local(tokenizers.path(TIKTOKEN)), tokenizers.PATTERN)
-    known = library()
-    texts = ["", "a" * 700 + "b" * 301, "\n\n\n  \n x  y", "don't we'll 'S", "\x1c \x85 x", "<|endoftext|>", *odd_texts(800, 5)]
+def encoder(words=()):
+    vocabulary = byte_bpe.Vocabulary(byte_bpe.read_local(tokenizers.path(TIKTOKEN)))
+    ids, counts = vocabulary.encode([w.encode() for w in words], vocabulary.ranks())
+    return byte_bpe.Encoder(vocabulary, byte_bpe.Lexicon(pa.array(list(words), pa.string()), ids, counts), tokenizers.PATTERN)
+
+
+@pytest.mark.parametrize("words", [(), ("the", " x", "internationalisation", "日本", " ")])
+def test_merge_replay_against_the_library(words, monkeypatch):
+    own, known = encoder(words), library()
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 2000)
+    texts = ["", "a" * 700 + "b" * 301, "\n\n\n  \n x  y", "don't we'll 'S", "\x1c \x85 x", "<|endoftext|>", "internationalisation the the" * 100, *odd_texts(800, 5)]
     for _ in range(2):  # the second time from the cache
-        flat, bounds = encoder.encode(texts)
+        flat, bounds = own.encode(texts)
         assert [flat[bounds[k] : bounds[k + 1]].tolist() for k in range(len(texts))] == [known.encode_ordinary(t) for t in texts]
 
 
 def test_a_cache_that_is_dropped(monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHE_WORDS", 5)
-    encoder, known = byte_bpe.Encoder(byte_bpe.read_local(tokenizers.path(TIKTOKEN)), tokenizers.PATTERN), library()
+    own, known = encoder(["the", " e"]), library()
     for text in odd_texts(20, 6):
-        assert encoder.encode([text])[0].tolist() == known.encode_ordinary(text)
-    assert len(encoder.place) < 60
+        assert own.encode([text])[0].tolist() == known.encode_ordinary(text)
+    assert len(own.place) < 60
+
+
+def test_words_of_the_corpus(spark, monkeypatch):
+    """The broadcast table holds the most frequent words of all texts, and no long ones."""
+    monkeypatch.setattr(byte_bpe, "LEXICON", 3)
+    shared = spark.sparkContext.broadcast(byte_bpe.Vocabulary(byte_bpe.read_local(tokenizers.path(TIKTOKEN))))
+    rows = [(k, " one two two" + (" three" * 9 if k == 0 else "") + " " + "x" * 100) for k in range(40)] + [(99, None)]
+    found = byte_bpe.lexicon(docs(spark, rows), shared, tokenizers.PATTERN)
+    assert found.words.to_pylist() == [" two", " one", " three"]
+    known = library()
+    assert found.ids.tolist() == [i for w in found.words.to_pylist() for i in known.encode_ordinary(w)]
+    assert byte_bpe.lexicon(docs(spark, rows).where("false"), shared, tokenizers.PATTERN).counts.tolist() == []
 
 
 def test_bpe_round_trip(spark):
@@ -295,6 +348,8 @@ def test_bpe_round_trip(spark):
     frame = docs(spark, rows)
     out = byte_bpe.bpe_decode(byte_bpe.bpe_encode(frame, path, tokenizers.PATTERN), path)
     assert out.columns == [*frame.columns, "token_ids", "decoded"]
+    at_once = byte_bpe.bpe_encode(frame, path, tokenizers.PATTERN, decoded="decoded")
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, out.collect()))
     known = library()
     for r in out.collect():
         assert bytes(r.decoded) == (r.text or "").encode() and r.token_ids == known.encode_ordinary(r.text or "")
