@@ -32,8 +32,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     broadcast if they are few, else joined by a shuffle.
     """
     found = neardup.near_duplicates(docs, percent=SIMILAR)
-    gone = common.settle(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(common.small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    own = common.fresh(docs, "_gone")
+    gone = common.settle(found.where(~F.col("kept")).select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(common.small(gone), F.col("doc_id") == F.col(own), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,15 +52,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with token_ids in place of text, n_tokens, and whether the
-    ids decode to the bytes of the text again."""
+    ids decode to the bytes of the text again. They replace columns of these three names."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = byte_bpe.bpe_encode(rows, path, public_tokenizers.PATTERN, keep_text=False)
-    rows = byte_bpe.bpe_decode(rows, path, out="_bytes")
-    same = (F.sha2("_bytes", 256) == F.col("_sha")).alias("round_trip")
-    return rows.select(*[c for c in docs.columns if c != "text"], "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same)
+    kept = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "round_trip")]
+    ids, decoded = common.fresh(docs, "_token_ids"), common.fresh(docs, "_decoded")
+    rows = byte_bpe.bpe_encode(docs, path, public_tokenizers.PATTERN, out=ids, decoded=decoded)
+    same = F.col(decoded) == F.coalesce("text", F.lit("")).cast("binary")
+    return rows.select(*kept, F.col(ids).alias("token_ids"), F.size(ids).cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [
