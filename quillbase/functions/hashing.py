@@ -49,3 +49,11 @@ def bucket_of(hashed: Column) -> Column:
 def value_bucket(value: Column, is_text: bool) -> Column:
     """The bucket of a field's value; null values have bucket -1."""
     return F.coalesce(bucket_of(fnv1a64_text(value) if is_text else fnv1a64_int(value)), F.lit(-1))
+
+
+def bucket_of_value(value: int | str) -> int:
+    """The same bucket, computed here for one known value."""
+    h, prime = OFFSET_BASIS % 2**64, 2**40 + PRIME_LOW
+    for byte in value.encode() if isinstance(value, str) else (value % 2**32).to_bytes(4, "big"):
+        h = (h ^ byte) * prime % 2**64
+    return h % BUCKETS

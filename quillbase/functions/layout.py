@@ -40,19 +40,19 @@ def _root(size: int, degree: int) -> int:
 
 
 def best_root(available: int, size: int) -> int:
-    """The greatest root of ``size``, rounded up, that fits the buffers: the fan-in that merges runs in equal passes."""
+    """The greatest root of ``size``, the square root or a higher one, rounded up, that fits the buffers: the fan-in that merges runs in equal passes."""
     room = available - RESERVED_BUFFERS
     if room <= 1:
         return 1
-    degree = 1
+    degree = 2
     while _root(size, degree) > room:
         degree += 1
     return _root(size, degree)
 
 
 def best_factor(available: int, size: int) -> int:
-    """The greatest part of ``size``, rounded up, that fits the buffers: chunks of equal length."""
+    """The greatest part of ``size``, a half or less, rounded up, that fits the buffers: chunks of equal length."""
     room = available - RESERVED_BUFFERS
     if room <= 1:
         return 1
-    return -(-size // -(-size // room))
+    return -(-size // max(2, -(-size // room)))

@@ -15,13 +15,18 @@ from ..plans.build import Scope
 from ..plans.sql import Predicate
 from .aggregates import Aggregate
 
-#: Rows up to which a side may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes, as the optimizer estimates them, up to which a side may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcastable(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than it takes to know."""
-    return df.select().limit(limit + 1).count() <= limit
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the rows of ``df``: the files' bytes and the columns kept; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcastable(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is estimated at no more than ``limit`` bytes."""
+    return estimated_bytes(df) <= limit
 
 
 def project(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -39,8 +44,8 @@ def product(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(right)
 
 
-def chunked_product(left: DataFrame, right: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A product that holds one side in memory where its counted rows allow it.
+def chunked_product(left: DataFrame, right: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A product that holds one side in memory where its estimated bytes allow it.
 
     The right side is broadcast within ``limit``, else the left; beyond it on both sides,
     partitions meet partitions.

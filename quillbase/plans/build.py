@@ -51,8 +51,9 @@ class Scope:
         return found
 
 
-def build(query: Query, resolve: Callable[[str], DataFrame]) -> DataFrame:
-    """The rows of ``query``. ``resolve`` gives the DataFrame of a table or view name."""
+def build(query: Query, resolve: Callable[[str], DataFrame], pruned: Callable[[Scope], list[Column]] = lambda scope: []) -> DataFrame:
+    """The rows of ``query``. ``resolve`` gives the DataFrame of a table or view name, ``pruned``
+    further conditions that all rows asked for meet."""
     if len({f.lower() for f in query.fields}) < len(query.fields):
         raise SqlError("a field is listed twice")
     if len({t.lower() for t in query.tables}) < len(query.tables):
@@ -61,6 +62,8 @@ def build(query: Query, resolve: Callable[[str], DataFrame]) -> DataFrame:
     scope = Scope(rows)
     condition = scope.condition(query.predicate)
     fields = [F.col(f"`{scope.column(f)}`").alias(f) for f in query.fields]
+    for more in pruned(scope):
+        condition = condition & more
     return rows.filter(condition).select(*fields) if query.predicate.terms else rows.select(*fields)
 
 

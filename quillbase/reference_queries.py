@@ -12,6 +12,7 @@ from .operators import aggregates, relational
 from .plans import cost, sql
 from .plans.build import Scope
 from .session import Session
+from .sources.files import scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -40,15 +41,6 @@ def session(spark: SparkSession, sf_dir: str, *tables: str, root: str | None = N
     return Session(spark, root).attach(**{t: f"{sf_dir}/{t}.parquet" for t in tables or TABLES})
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder for a query's own store: below the shared folder if the cluster names one."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/store-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
-
-
 def _text(text: str, order: str = "given") -> Callable[[SparkSession, str], DataFrame]:
     names = sql.parse_query(text).tables
     return lambda spark, sf_dir: session(spark, sf_dir, *names).query(text, order)
@@ -165,6 +157,49 @@ def _index_join(spark, sf_dir):
     return relational.project(own.index_join(outer, "orders", "c_custkey", "o_custkey"), ["c_name", "o_orderkey"])
 
 
+def _sql_index_select(spark, sf_dir):
+    """The same rows by SQL: the front end finds the index itself."""
+    return _indexed_orders(spark, sf_dir).query("select o_orderkey, o_custkey from orders where o_custkey = 7")
+
+
+def _sql_index_join(spark, sf_dir):
+    own = _indexed_orders(spark, sf_dir)
+    return own.query("select c_name, o_orderkey from customer, orders where o_custkey = c_custkey and c_mktsegment = 'BUILDING'")
+
+
+def _index_delete(spark, sf_dir):
+    """The rows to delete are found by the index."""
+    own = _indexed_orders(spark, sf_dir)
+    own.execute("delete from orders where o_custkey = 7")
+    return own.query("select o_orderkey, o_custkey from orders")
+
+
+def _merged_parts(spark, sf_dir):
+    """More inserts than a table keeps parts of."""
+    from .sources.store import MERGE
+
+    own = _copied(spark, sf_dir, "region", "r_regionkey int, r_name varchar(25)")
+    own.begin()
+    for k in range(MERGE + 1):
+        own.execute(f"insert into region (r_regionkey, r_name) values ({100 + k}, 'R{k}')")
+    own.commit()
+    return own.query("select r_regionkey, r_name from region")
+
+
+def _recovery(spark, sf_dir):
+    """What is committed is there after a transaction that never ended and a torn manifest; the next commit works."""
+    own = _copied(spark, sf_dir, "region", "r_regionkey int, r_name varchar(25)")
+    own.begin()
+    own.execute("insert into region (r_regionkey, r_name) values (98, 'lost')")
+    files = own.store.files
+    stream = files.fs.create(files.path(f"{own.store.root}/manifest/9.json"), False)
+    stream.write(bytearray(b'{"number": 9'))
+    stream.close()
+    again = Session(spark, own.store.root, recover=True)
+    again.execute("insert into region (r_regionkey, r_name) values (99, 'X')")
+    return again.query("select r_regionkey, r_name from region")
+
+
 def _index_maintained(spark, sf_dir):
     own = _indexed_orders(spark, sf_dir)
     own.execute("insert into orders (o_orderkey, o_custkey, o_orderstatus) values (-1, 7, 'F')")
@@ -213,7 +248,7 @@ def _unrolled(column: str, is_text: bool) -> str:
     from t where i = {count.replace(column, "v")}"""
 
 
-BUFFERS = [(256, 1000), (10, 1000), (10, 20), (3, 50), (256, 256)]
+BUFFERS = [(256, 1000), (10, 1000), (10, 20), (3, 50), (256, 256), (256, 100), (102, 100)]
 
 
 def _buffers(spark, sf_dir):
@@ -270,6 +305,39 @@ def _sub_predicates(spark, sf_dir):
     return relational.project(rows.where(Scope(rows).condition(query.predicate.between(own, other))), list(query.fields))
 
 
+PREDICATE = "select c_name from customer, nation where c_nationkey = n_nationkey and n_name = 'CHINA' and 3 = c_custkey"
+
+
+def _equated(spark, sf_dir):
+    """What a predicate equates each field with."""
+    predicate = sql.parse_query(PREDICATE).predicate
+    rows = [(f, str(c) if (c := predicate.constant_for(f)) is not None else None, predicate.field_for(f)) for f in ("c_nationkey", "n_nationkey", "n_name", "c_custkey", "c_name")]
+    return spark.createDataFrame(rows, "field string, constant string, other string")
+
+
+def _applicable(spark, sf_dir):
+    """How many terms of a predicate each table decides alone, and both together."""
+    query = sql.parse_query(PREDICATE)
+    c, n = (set(_table(spark, sf_dir, t).columns) for t in query.tables)
+    rows = [("customer", len(query.predicate.within(c).terms)), ("nation", len(query.predicate.within(n).terms)), ("both", len(query.predicate.between(c, n).terms))]
+    return spark.createDataFrame(rows, "tables string, terms int")
+
+
+def _search_cost(spark, sf_dir):
+    """Blocks that a look-up by hash and by tree reads, for tables of several sizes."""
+    rows = []
+    for name, field in (("nation", "n_nationkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        p = cost.table(_table(spark, sf_dir, name).count(), [(field, None)])
+        rows.append((name, cost.hash_search(p, field), cost.tree_search(p, field)))
+    return spark.createDataFrame(rows, "tblname string, hash_search int, tree_search int")
+
+
+SEARCH_COST_SQL = " union all ".join(
+    f"select '{t}' as tblname, (ceil(count(*) / 256)::BIGINT // 100)::INTEGER as hash_search, (case when count(*) <= 341 then 1 when count(*) <= 341 * 341 then 2 else 3 end)::INTEGER as tree_search from {t}"
+    for t in ("nation", "orders", "lineitem")
+)
+
+
 def _mixed_types(spark, sf_dir):
     return session(spark, sf_dir, "nation").query("select n_name from nation where n_regionkey = '2'")
 
@@ -284,6 +352,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_max_str": _group("orders", ["o_orderstatus"], aggregates.max_of("o_orderpriority")),
     "group_keys": _group("orders", ["o_orderstatus", "o_orderpriority"]),
     "group_other_aggregates": _group("orders", ["o_orderstatus"], aggregates.min_of("o_orderkey"), aggregates.count_of("o_orderkey"), aggregates.sum_of("o_custkey")),
+    "group_avg": _group("orders", ["o_orderstatus"], aggregates.avg_of("o_custkey")),
     "global_max": _group("orders", [], aggregates.max_of("o_orderkey")),
     "global_max_empty": _global_max_empty,
     "sort": _sort,
@@ -300,6 +369,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_select": _index_select,
     "index_join": _index_join,
     "index_maintained": _index_maintained,
+    "sql_index_select": _sql_index_select,
+    "sql_index_join": _sql_index_join,
+    "index_delete": _index_delete,
+    "merged_parts": _merged_parts,
+    "recovery": _recovery,
     "catalog_tables": _catalog("tblcat"),
     "catalog_fields": _catalog("fldcat"),
     "catalog_views": _catalog("viewcat"),
@@ -309,6 +383,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "buffer_arithmetic": _buffers,
     "slot_size": _slot_size,
     "plan_cost": _plan_cost,
+    "search_cost": _search_cost,
+    "equated_with": _equated,
+    "applicable_terms": _applicable,
 }
 
 _ALL_NATIONS = "select n_nationkey, n_name, n_regionkey from nation"
@@ -328,6 +405,7 @@ ORACLES: dict[str, str] = {
     "group_max_str": "select o_orderstatus, max(o_orderpriority) as maxofo_orderpriority from orders group by o_orderstatus",
     "group_keys": "select o_orderstatus, o_orderpriority from orders group by o_orderstatus, o_orderpriority",
     "group_other_aggregates": "select o_orderstatus, min(o_orderkey) as minofo_orderkey, count(o_orderkey) as countofo_orderkey, sum(o_custkey)::BIGINT as sumofo_custkey from orders group by o_orderstatus",
+    "group_avg": "select o_orderstatus, avg(o_custkey) as avgofo_custkey from orders group by o_orderstatus",
     "global_max": "select max(o_orderkey) as maxofo_orderkey from orders",
     "global_max_empty": "select max(n_nationkey) as m from nation where n_regionkey = 99 having count(*) > 0",
     "sort": "select n_regionkey, n_name from nation order by n_regionkey, n_name",
@@ -344,13 +422,21 @@ ORACLES: dict[str, str] = {
     "index_select": "select o_orderkey::INTEGER as o_orderkey, o_custkey::INTEGER as o_custkey from orders where o_custkey = 7",
     "index_join": "select c_name, o_orderkey::INTEGER as o_orderkey from customer, orders where o_custkey = c_custkey and c_mktsegment = 'BUILDING'",
     "index_maintained": "select o_orderkey::INTEGER as o_orderkey, o_orderstatus from orders where o_custkey = 7 and o_orderstatus <> 'O' union all select -1, 'F'",
+    "sql_index_select": "select o_orderkey::INTEGER as o_orderkey, o_custkey::INTEGER as o_custkey from orders where o_custkey = 7",
+    "sql_index_join": "select c_name, o_orderkey::INTEGER as o_orderkey from customer, orders where o_custkey = c_custkey and c_mktsegment = 'BUILDING'",
+    "index_delete": "select o_orderkey::INTEGER as o_orderkey, o_custkey::INTEGER as o_custkey from orders where o_custkey <> 7",
+    "merged_parts": "select r_regionkey, r_name from region union all select 100 + i, 'R' || i from (select unnest(range(17)) as i)",
+    "recovery": "select r_regionkey, r_name from region union all select 99, 'X'",
     "catalog_tables": _rows([("tblcat", 28), ("fldcat", 56), ("viewcat", 128), ("idxcat", 64), ("region", 37)], ["tblname", "slotsize"]),
     "catalog_fields": _rows(_FIELDS, ["tblname", "fldname", "type", "length", '"offset"']),
     "catalog_views": _rows([("names", "select r_name from region")], ["viewname", "viewdef"]),
     "catalog_indexes": _rows([("byname", "region", "r_name")], ["indexname", "tablename", "fieldname"]),
     "fnv_text": _unrolled("n_name", True),
     "fnv_int": _unrolled("n_nationkey", False),
-    "buffer_arithmetic": _rows([(256, 1000, 32, 250), (10, 1000, 6, 8), (10, 20, 5, 7), (3, 50, 1, 1), (256, 256, 16, 128)], ["available", "size", "best_root", "best_factor"]),
+    "buffer_arithmetic": _rows([(256, 1000, 32, 250), (10, 1000, 6, 8), (10, 20, 5, 7), (3, 50, 1, 1), (256, 256, 16, 128), (256, 100, 10, 50), (102, 100, 10, 50)], ["available", "size", "best_root", "best_factor"]),
     "slot_size": _rows([("tblcat", 28, 146), ("fldcat", 56, 73), ("viewcat", 128, 32), ("idxcat", 64, 64)], ["tblname", "slotsize", "slots_per_block"]),
     "plan_cost": PLAN_COST_SQL,
+    "search_cost": SEARCH_COST_SQL,
+    "equated_with": "select * from (values ('c_nationkey', NULL, 'n_nationkey'), ('n_nationkey', NULL, 'c_nationkey'), ('n_name', 'CHINA', NULL), ('c_custkey', '3', NULL), ('c_name', NULL, NULL)) as t(field, constant, other)",
+    "applicable_terms": "select * from (values ('customer', 1), ('nation', 1), ('both', 1)) as t(tables, terms)",
 }

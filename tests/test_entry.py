@@ -18,12 +18,23 @@ def test_names():
     assert set(reference_queries.ORACLES) == set(reference_queries.QUERIES)
 
 
-def test_imports_without_the_training_data_operators(tmp_path):
+def test_without_the_training_data_operators(tmp_path):
+    for name in ("__spark_entry__.py", "quillbase", "tests"):
+        subprocess.run(["cp", "-r", f"{REPO}/{name}", str(tmp_path)], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "quillbase/llm"), str(tmp_path / "tests/llm")], check=True)
+    run = lambda *args: subprocess.run([sys.executable, *args], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    done = run("-c", "import __spark_entry__ as e; print('join4' in e.queries(), any(k.startswith('op') for k in e.queries()), sorted(e.oracle_sql()) == sorted(e.queries()))")
+    assert done.stdout.split() == ["True", "False", "True"], done.stderr
+    done = run("-m", "pytest", "-q", "tests/test_sql.py", "tests/test_model.py", "tests/test_operators.py")
+    assert done.returncode == 0, done.stdout
+
+
+def test_an_error_within_the_operators_is_not_hidden(tmp_path):
     for name in ("__spark_entry__.py", "quillbase"):
         subprocess.run(["cp", "-r", f"{REPO}/{name}", str(tmp_path)], check=True)
-    subprocess.run(["rm", "-rf", str(tmp_path / "quillbase/llm")], check=True)
-    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print('join4' in e.queries(), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
-    assert done.stdout.split() == ["True", "False"], done.stderr
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True)
+    assert "a_module_that_is_not_there" in done.stderr or not os.path.isdir(f"{REPO}/quillbase/llm")
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -7,7 +7,7 @@ from quillbase.plans import cost
 from quillbase.plans.sql import parse_query
 
 
-@pytest.mark.parametrize("available, size, root, factor", [(256, 1000, 32, 250), (10, 1000, 6, 8), (10, 20, 5, 7), (3, 50, 1, 1), (256, 256, 16, 128)])
+@pytest.mark.parametrize("available, size, root, factor", [(256, 1000, 32, 250), (10, 1000, 6, 8), (10, 20, 5, 7), (3, 50, 1, 1), (256, 256, 16, 128), (256, 100, 10, 50), (102, 100, 10, 50)])
 def test_buffers(available, size, root, factor):
     assert (best_root(available, size), best_factor(available, size)) == (root, factor)
 

@@ -84,3 +84,19 @@ def test_text_hashes(spark):
 
 def test_temp_table(spark, tmp_path):
     assert rows(relational.temp_table(df(spark, [(1,)], "a int"), str(tmp_path))) == [(1,)]
+
+
+def test_broadcast_by_bytes(spark, tmp_path):
+    spark.range(2000).selectExpr("id as a", "repeat(cast(id as string), 50) as s").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert relational.broadcastable(t) and not relational.broadcastable(t, 1000)
+    assert relational.estimated_bytes(t.select("a")) < relational.estimated_bytes(t)
+
+
+def test_buckets_of_known_values(spark):
+    values = [0, 7, -1, 2147483647, -2147483648]
+    t = df(spark, [(v,) for v in values], "a int")
+    assert [b for (b,) in rows(t.select(hashing.value_bucket(t["a"], False)))] == [hashing.bucket_of_value(v) for v in values]
+    texts = ["", "a", "ASIA", "日本", "it's"]
+    t = df(spark, [(v,) for v in texts], "a string")
+    assert [b for (b,) in rows(t.select(hashing.value_bucket(t["a"], True)))] == [hashing.bucket_of_value(v) for v in texts]

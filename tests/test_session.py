@@ -112,9 +112,93 @@ def test_recovery(spark, s, tmp_path):
     assert parts() == 1 and rows(fresh) == [(1, "")]
 
 
-def test_unfinished_manifest_is_not_seen(s, tmp_path):
+def test_torn_manifests(spark, s, tmp_path):
+    """A commit beside a torn manifest goes through, and recovery removes it."""
+    (tmp_path / "manifest" / "2.json").write_text('{"number": 2')
     (tmp_path / "manifest" / "99.json").write_text('{"number": 99')
     assert rows(s) == [] and s.store.current().number == 1
+    assert s.execute("insert into t (a) values (1)") == 1 and s.store.current().number == 100
+    (tmp_path / "manifest" / "101.json").write_text('{"number": 101')
+    again = Session(spark, str(tmp_path), recover=True)
+    assert rows(again) == [(1, "")] and [n for n in again.store.files.names(str(tmp_path / "manifest"))] == ["100.json"]
+    assert again.execute("insert into t (a) values (2)") == 1 and rows(s) == [(1, ""), (2, "")]
+
+
+def test_only_one_writer_creates_a_file(s, tmp_path):
+    files, place = s.store.files, f"{s.store.root}/manifest/7.json"
+    assert files.create(place, "one\n") and not files.create(place, "two\n")
+    assert files.read(place) == "one\n" and not [n for n in files.names(f"{s.store.root}/manifest") if n.startswith(".7")]
+
+
+def test_old_manifests_go(s):
+    for k in range(25):
+        s.execute(f"create table t{k} (a int)")
+    assert len([n for n in s.store.files.names(f"{s.store.root}/manifest") if n.endswith(".json")]) == 20
+    assert s.query("select a from t24").count() == 0
+
+
+def test_many_inserts_leave_few_parts(s, monkeypatch):
+    from quillbase.sources import store
+
+    monkeypatch.setattr(store, "MERGE", 4)
+    s.execute("create index i on t (a)")
+    s.begin()
+    for k in range(30):
+        s.execute(f"insert into t (a, b) values ({k % 7}, 'x{k % 10}')")
+        assert len(s.mine.tables["t"].parts) <= 12
+    s.commit()
+    assert sum(s.store.current().tables["t"].parts.values()) == 30 == len(rows(s))
+    plan = s.index_select("t", "a", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and sorted(r.a for r in s.index_select("t", "a", 3).collect()) == [3] * 4
+
+
+def test_queries_take_indexes(spark, s):
+    for a, b in ((1, "x"), (2, "y"), (2, "z")):
+        s.execute(f"insert into t (a, b) values ({a}, '{b}')")
+    s.execute("create table u (k int, name varchar(5))")
+    s.execute("insert into u (k, name) values (2, 'two')")
+    plan = lambda text: s.query(text)._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" not in plan("select b from t where a = 2")
+    s.execute("create index i on t (a)")
+    assert "PartitionFilters: [isnotnull(_bucket" in plan("select b from t where a = 2") and rows(s, "select b from t where A = 2") == [("y",), ("z",)]
+    assert "_bucket" not in plan("select b from t where a = '2'") and rows(s, "select b from t where a = '2'") == []
+    joined = "select name, b from t, u where k = a"
+    assert "_bucket" in plan(joined) and rows(s, joined) == [("two", "y"), ("two", "z")]
+    s.execute("create view v as select a from t where a = 2")
+    assert rows(s, "select a from v") == [(2,), (2,)] and rows(s, "select a, b from t, u where k = 2 and b = 'x'") == [(1, "x")]
+    assert s.execute("update t set b = 'w' where a = 2") == 2 and rows(s, "select b from t where a = 2") == [("w",), ("w",)]
+    assert s.execute("delete from t where a = 1 and b = 'q'") == 0 and s.execute("delete from t where a = 1") == 1 and rows(s) == [(2, "w"), (2, "w")]
+
+
+def test_a_value_that_most_rows_have(spark, s):
+    """Equal values are dealt over several files of an index."""
+    frame = spark.range(40_000).selectExpr("cast(if(id % 10 < 9, 5, id) as int) as a", "cast(id as string) as b")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s.append("t", frame)
+        s.execute("create index i on t (a)")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = s.index_select("t", "a", 5)
+    assert found.count() == 36_000 and found.selectExpr("input_file_name()").distinct().count() >= 3
+
+
+def test_statistics_are_kept(spark, s, monkeypatch):
+    s.attached["w"] = spark.range(30).selectExpr("cast(id as int) as x")
+    assert s.statistics("w").records == 30
+    s.attached["w"] = spark.range(7).selectExpr("cast(id as int) as x")
+    assert s.statistics("w").records == 30
+    monkeypatch.setattr("quillbase.session.REFRESH", 2)
+    assert s.statistics("w").records == 7
+    s.execute("insert into t (a) values (1)")
+    assert s.statistics("t").records == 1
+
+
+def test_strings_too_long_are_refused_in_the_same_pass(spark, s):
+    with pytest.raises(SqlError):
+        s.append("t", spark.createDataFrame([(1, "long enough")], "a int, b string"))
+    assert rows(s) == [] and s.store.files.names(f"{s.store.root}/parts") == []
+    assert s.append("t", spark.createDataFrame([(1, None), (2, "x")], "a int, b string")) == 2
 
 
 def test_views(s):
