@@ -19,6 +19,8 @@ LEADS = (np.arange(256) & 0xC0) != 0x80
 
 #: Masks that leave the first 0 to 8 bytes of a little-endian number.
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Eights of bytes that are hashed at a time: bounds what a long text takes.
+EIGHTS = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,18 +41,20 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     """
     size = stops - starts
     pieces = -(-size // 8)
-    if not pieces.any():
-        return mix(size.astype(np.uint64))
-    first = np.cumsum(pieces) - pieces
-    owner = np.repeat(np.arange(len(size)), pieces)
-    turn = np.arange(len(owner)) - first[owner]
-    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
-    value = eight[starts[owner] + 8 * turn].view("<u8").ravel()
-    value &= _MASKS[np.minimum(size[owner] - 8 * turn, 8)]
-    value = mix(value ^ mix(turn.astype(np.uint64) + U(1)))
     full = np.flatnonzero(pieces)
+    first = np.cumsum(pieces[full]) - pieces[full]
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
     sums = np.zeros(len(size), np.uint64)
-    sums[full] = np.add.reduceat(value, first[full])
+    for low in range(0, int(pieces.sum()), EIGHTS):
+        turn = np.arange(low, min(low + EIGHTS, int(pieces.sum())))
+        of = np.searchsorted(first, turn, "right") - 1
+        turn -= first[of]
+        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        owner, of = full[of], full[of[cuts]]
+        value = eight[starts[owner] + 8 * turn].view("<u8").ravel()
+        value &= _MASKS[np.minimum(size[owner] - 8 * turn, 8)]
+        value = mix(value ^ mix(turn.astype(np.uint64) + U(1)))
+        sums[of] += np.add.reduceat(value, cuts)
     return mix(sums + size.astype(np.uint64) * U(0x9E3779B97F4A7C15))
 
 

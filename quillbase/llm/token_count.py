@@ -106,15 +106,22 @@ class Pieces:
         self.letters = frozenset("".join(names))
         #: Tokens that are the left part of a merge, and the pieces that begin with a text.
         self.lefts = {p[:k] for p in names for k in range(1, len(p)) if (k == 1 or p[:k] in self.rank) and (k == len(p) - 1 or p[k:] in self.rank)}
+        #: What may be merged behind a token, with the rank of the merge.
+        self.behind: dict[str, dict[str, int]] = {}
+        for p in names:
+            for k in range(1, len(p)):
+                if p[:k] in self.lefts:
+                    self.behind.setdefault(p[:k], {})[p[k:]] = self.rank[p]
         self.edges: dict[str, tuple[list, list]] = {}
         self.whole: dict[str, bool] = {}
         self.first: dict[tuple, str] = {}
         self.alike: dict[tuple[str, str], str | None] = {}
-        self.follow: dict[str, list[str]] = {}
+        #: Left edges of the pieces that begin with a text.
+        self.follow: dict[str, list[list]] = {}
         for p in names:
             if self.reached(p):
                 for k in range(1, len(p)):
-                    self.follow.setdefault(p[:k], []).append(p)
+                    self.follow.setdefault(p[:k], []).append(self.spines(p)[0])
         self.begins = {"", *self.follow}
 
     @staticmethod
@@ -176,14 +183,26 @@ class Pieces:
             spine = tuple(x for x in self.spines(token)[1] if x[0] in self.lefts)
             found = self.first.setdefault(spine, token)
             follow = self.follow.get(begun, ())
-            if begun and len(follow) <= 256:
-                fits = tuple(self.compatible(found, p) for p in follow)
+            if begun and len(follow) <= 64:
+                fits = self.fits(found, follow)
                 found = self.first.setdefault((begun, fits), found) if any(fits) else None
             if len(self.alike) > 1 << 20:
                 self.alike.clear()
             self.alike[key] = found
         return self.alike[key]
 
+    def fits(self, token: str, edges: list[list]) -> tuple[bool, ...]:
+        """Which of the pieces with these left edges are compatible behind ``token``."""
+        earliest: dict[str, int] = {}  # the first merge with anything on the right edge of the token
+        heads = {x for edge in edges for x, _ in edge}
+        for r, r_until in self.spines(token)[1]:
+            own = self.behind.get(r, {})
+            for l in heads if len(heads) < len(own) else own.keys() & heads:  # noqa: E741
+                merge = own.get(l, NEVER)
+                if merge < r_until and merge < earliest.get(l, NEVER):
+                    earliest[l] = merge
+        return tuple([not any(l in earliest and earliest[l] <= until for l, until in edge) for edge in edges])  # noqa: E741
+
     def cost(self, token: str) -> int:
         return 1 if token in self.rank else len(token.encode())
 

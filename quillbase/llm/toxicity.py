@@ -29,6 +29,8 @@ TASKS = 32
 #: Standard errors that a feature's rates in the two classes must be apart: keeps chance out of small samples.
 APART = 2.0
 FILTER_BITS = 22
+#: Places of a text that are looked up at a time.
+PLACES = 1 << 18
 U = np.uint64
 
 
@@ -79,13 +81,14 @@ class Model:
         """(document, feature) once for each feature that a document holds, ordered."""
         pairs = [np.zeros(0, np.int64)]
         size = max(1, len(self.keys))
-        for n, keys in packed(points):
-            at = np.flatnonzero(seen[self.slot(keys)])
-            doc = np.searchsorted(ends, at, "right") - 1
-            own = keys[at]
-            feature = np.minimum(np.searchsorted(self.keys, own), size - 1)
-            ok = (at + n <= ends[doc + 1]) & (self.keys[feature] == own) if len(self.keys) else np.zeros(len(at), bool)
-            pairs.append(doc[ok] * size + feature[ok])
+        for low in range(0, len(points) if len(self.keys) else 0, PLACES):
+            for n, keys in packed(points[low : low + PLACES + max(LENGTHS)]):
+                at = np.flatnonzero(seen[self.slot(keys[:PLACES])])
+                own, at = keys[at], at + low
+                doc = np.searchsorted(ends, at, "right") - 1
+                feature = np.minimum(np.searchsorted(self.keys, own), size - 1)
+                ok = (at + n <= ends[doc + 1]) & (self.keys[feature] == own)
+                pairs.append(np.unique(doc[ok] * size + feature[ok]))
         both = np.unique(np.concatenate(pairs))
         return both // size, both % size
 
@@ -167,7 +170,7 @@ def _score(model: Model):
         for batch in batches:
             data, ends = common.utf8(batch.column(0))
             out = np.zeros(len(ends) - 1)
-            for i, j in common.slices(ends, 1 << 19):
+            for i, j in common.slices(ends):
                 doc, feature = model.found(*characters(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]), seen)
                 out[i:j] = _sigmoid(np.bincount(doc, model.weights[feature], j - i) + model.bias)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[str(k) for k in range(batch.num_columns + 1)])

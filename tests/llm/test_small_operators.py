@@ -299,8 +299,10 @@ def test_toxic_features_do_not_cross_documents():
     assert doc.tolist() == [3] and feature.tolist() == [0]  # once, and not across the ends
 
 
-def test_toxicity_scores_of_characters():
+@pytest.mark.parametrize("places", [1, 7, 1 << 18])
+def test_toxicity_scores_of_characters(places, monkeypatch):
     """Each score from the document's own substrings, of characters and not of bytes."""
+    monkeypatch.setattr(toxicity, "PLACES", places)
     points = lambda text: np.array([ord(c) for c in text], np.uint32)
     key = lambda gram: int(dict(toxicity.packed(points(gram)))[len(gram)][0])
     grams = {"злой": 1.5, "ой чел": -0.25, "日本語日": 2.0, "vile": 0.75, "so vile!": 3.0, "é́éé": -1.0}

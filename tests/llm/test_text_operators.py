@@ -382,10 +382,17 @@ def test_patterns_that_polynomial_hashes_confuse(spark):
     assert got == {1: 1, 2: 2}
 
 
-def test_span_hashes_of_every_length():
+@pytest.mark.parametrize("eights", [1, 3, 1 << 19])
+def test_span_hashes_of_every_length(eights, monkeypatch):
+    monkeypatch.setattr(kernels, "EIGHTS", 1 << 19)
+    some = np.frombuffer(b"a longer text of which all ranges of bytes are hashed alike", np.uint8)
+    a, b = map(np.array, zip(*[(i, j) for i in range(59) for j in range(i, 60)], strict=True))
+    whole = kernels.span_hashes(some, a, b)
+    monkeypatch.setattr(kernels, "EIGHTS", eights)
+    assert np.array_equal(kernels.span_hashes(some, a, b), whole)
     rng = np.random.default_rng(3)
     data = rng.integers(0, 3, 400, dtype=np.uint8)
-    starts, stops = map(np.array, zip(*[(i, j) for i in range(0, 120) for j in range(i, i + 40)], strict=True))
+    starts, stops = map(np.array, zip(*[(i, j) for i in range(0, 120, 1 if eights > 9 else 17) for j in range(i, i + 40)], strict=True))
     known = {}
     for a, b, h in zip(starts, stops, kernels.span_hashes(data, starts, stops).tolist(), strict=True):
         assert known.setdefault(h, data[a:b].tobytes()) == data[a:b].tobytes()
