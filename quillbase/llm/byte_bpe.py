@@ -8,7 +8,7 @@
    and enters the pairs that arise into the index.
 3. The words with their ids, a table of bounded size, are broadcast, and a second pass puts
    each text together from them. Words beyond the table, rare ones or long ones, are
-   replayed the same way, all new ones of a few megabytes of text at once.
+   replayed the same way, all new ones of SLICE_BYTES of text at once.
 
 The ids do not depend on what the table holds.
 """
@@ -33,7 +33,7 @@ from . import common
 #: Words of the broadcast table and the bytes of its longest word: under 50 MB, however large the corpus.
 LEXICON, LONGEST = 150_000, 64
 #: Text bytes handled at a time, words beyond the table that a task remembers, and characters from which a text is split lazily.
-SLICE_BYTES, CACHE_WORDS, LONG_TEXT = 2 << 20, 100_000, 1 << 20
+SLICE_BYTES, CACHE_WORDS, LONG_TEXT = 8 << 20, 200_000, 1 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -269,16 +269,31 @@ def lexicon(docs: DataFrame, vocabulary, pattern: str, text: str = "text") -> Le
 def _encode(state, pattern: str, at: int, drop: bool, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Encoder(*state.value, pattern)
+        waiting, size = [], 0
+
+        def encoded() -> Iterator[pa.RecordBatch]:
+            flat, bounds = own.encode([t or "" for part in waiting for t in part.column(at).to_pylist()])
+            first = 0
+            for part in waiting:
+                own_bounds = bounds[first : first + part.num_rows + 1]
+                ids, first = flat[own_bounds[0] : own_bounds[-1]], first + part.num_rows
+                columns = [part.column(k) for k in range(part.num_columns) if not (drop and k == at)]
+                columns.append(pa.ListArray.from_arrays(pa.array((own_bounds - own_bounds[0]).astype(np.int32)), pa.array(ids)))
+                if decoded:
+                    columns.append(own.vocabulary.decode(ids, np.diff(own_bounds)))
+                yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
+            waiting.clear()
+
         for batch in batches:
             _, ends = common.utf8(batch.column(at))
             for i, j in common.slices(ends, SLICE_BYTES):
-                part = batch.slice(i, j - i)
-                flat, bounds = own.encode([t or "" for t in part.column(at).to_pylist()])
-                columns = [part.column(k) for k in range(batch.num_columns) if not (drop and k == at)]
-                columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat)))
-                if decoded:
-                    columns.append(own.vocabulary.decode(flat, np.diff(bounds)))
-                yield pa.RecordBatch.from_arrays(columns, names=[str(k) for k in range(len(columns))])
+                waiting.append(batch.slice(i, j - i))
+                size += int(ends[j] - ends[i])
+                if size >= SLICE_BYTES:
+                    yield from encoded()
+                    size = 0
+        if waiting:
+            yield from encoded()
 
     return run
 
