@@ -9,8 +9,7 @@
    never all pairs of a bucket.
 4. Candidates whose sketches agree are confirmed on the full sets. Confirmed links
    give components; candidates within a component need no test.
-5. Members of one bucket may still be in different components. In a bucket of at most
-   BLOCK members their sketches are compared at once. Of the documents of larger ones
+5. Members of one bucket may still be in different components. Of these documents,
    each lists its shingles that another one has too, rarest first. Two documents that
    reach the threshold share a shingle so early in both lists that enough of either
    list is left for their intersection. Each is tested with the most central document of
@@ -43,9 +42,6 @@ SKETCH_BITS = 512
 WORDS = SKETCH_BITS // 64
 #: Probability with which a pair at the threshold escapes all buckets, and with which its sketches reject it.
 MISS = 1e-6
-#: Members of a bucket up to which their sketches are compared at once: about as many
-#: comparisons of 50 ns as take the time of listing a document's shingles.
-BLOCK = 2048
 #: Rows of one key that meet in one place, and places among which a key's rows are dealt while their number is unknown.
 MEET, PLACES = 256, 32
 
@@ -201,15 +197,17 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> Data
     nodes = common.settle(pairs.select(F.explode(F.array("x", "p")).alias("node")).distinct())
     texts = docs.join(common.small(nodes), F.col("doc_id") == F.col("node"), "left_semi")
     sets = common.settle(texts.mapInArrow(common.lean(_sets(width)), "node long, set array<long>"))
-    for end, other in (("x", "p"), ("p", "x")):
+    hubs = pairs.count() > MEET
+    for end, other in (("x", "p"), ("p", "x")) if hubs else ():
         pairs = cells(pairs, end, other).withColumn(f"_cell_{end}", _cell(other)).drop("_cells")
-    pairs = common.settle(pairs)
+    pairs = common.settle(pairs) if hubs else pairs
     for end in ("x", "p"):
-        places = pairs.select(end, f"_cell_{end}").distinct()
-        own = sets.join(places, F.col("node") == F.col(end)).select(end, f"_cell_{end}", F.col("set").alias(f"set_{end}"))
-        pairs = pairs.join(own, [end, f"_cell_{end}"])
+        key = [end, f"_cell_{end}"] if hubs else [end]
+        places = pairs.select(*key).distinct()
+        own = sets.join(places, F.col("node") == F.col(end)).select(*key, F.col("set").alias(f"set_{end}"))
+        pairs = pairs.join(own, key)
     shared = F.size(F.array_intersect("set_x", "set_p"))
-    return pairs.where(100 * shared >= percent * (F.size("set_x") + F.size("set_p") - shared)).select("x", "p").distinct()
+    return pairs.where(100 * shared >= percent * (F.size("set_x") + F.size("set_p") - shared)).select("x", "p")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -217,24 +215,28 @@ def components(links: DataFrame) -> DataFrame:
 
     Edges lead from the greater node u to the smaller v. Alternating large-star and
     small-star steps each rewire edges to the least neighbour, until every node has one
-    edge, to a node without any.
+    edge, to a node without any. A graph of few edges, counted here, is rewired in one task.
     """
     edges = links.select(F.greatest("x", "p").alias("u"), F.least("x", "p").alias("v")).where("u > v").distinct()
     edges = common.settle(edges)
+    few = edges.count() <= common.BROADCAST_ROWS
+    kept = lambda df: common.settle(df).coalesce(1) if few else common.settle(df)
+    edges = edges.coalesce(1) if few else edges
     while True:
-        least = common.settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        least = kept(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         # Large star: what hangs on a node that has smaller neighbours itself hangs on the least of them.
-        inner = least.select(F.col("u").alias("v"), "m").join(edges.select("v").distinct(), "v", "left_semi")
+        inner = least.select(F.col("u").alias("v"), "m").join(common.small(edges.select("v")), "v", "left_semi")
         inner = common.settle(inner)
         if not inner.isEmpty():
             edges = attach_settled(edges, "v", "u", inner, "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
-            edges = common.settle(edges)
-            least = common.settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+            edges = kept(edges)
+            least = kept(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         # Small star: the smaller neighbours of a node hang on the least of them.
         many = common.settle(least.where("n > 1").select("u", "m"))
         if not many.isEmpty():
             moved = attach_settled(edges, "u", "v", many).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            edges = common.settle(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+            moved = moved.union(least.select("u", F.col("m").alias("v")))
+            edges = kept((moved.coalesce(1) if few else moved).distinct())
         elif inner.isEmpty():
             return edges
 
@@ -242,7 +244,7 @@ def components(links: DataFrame) -> DataFrame:
 def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """``pairs`` (x, p, ...) whose ends are in different components."""
     for end in ("x", "p"):
-        own = roots.select(F.col("u").alias("_u"), F.col("v").alias(f"_{end}"))
+        own = common.small(roots.select(F.col("u").alias("_u"), F.col("v").alias(f"_{end}")))
         pairs = pairs.join(own, F.col(end) == F.col("_u"), "left").drop("_u").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
     return pairs.where("_x <> _p").drop("_x", "_p")
 
@@ -283,7 +285,7 @@ def _lists(docs: DataFrame, own: DataFrame, percent: int, width: int) -> DataFra
 
 
 def _renamed(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    new = lists.drop("root").join(roots, F.col("node") == F.col("u"), "left")
+    new = lists.drop("root").join(common.small(roots), F.col("node") == F.col("u"), "left")
     return new.withColumn("root", F.coalesce("v", "node")).drop("u", "v")
 
 
@@ -313,36 +315,27 @@ def _central(lists: DataFrame, percent: int, flips: int) -> DataFrame:
 
 
 def _meetings(lists: DataFrame, percent: int, flips: int) -> DataFrame:
-    """Pairs (x, p, root_x, root_p, flips) of different components that a shingle rare enough leads to."""
-    pairs = _met(lists, "shingle", "node", _END).where((F.col("root_x") < F.col("root_p")) & _possible(percent, flips))
-    return pairs.select(*_ordered("node_x", "node_p"), "root_x", "root_p", _flips("sketch_x", "sketch_p").alias("flips")).distinct()
-
+    """Pairs (x, p, root_x, root_p, flips) of different components that a shingle rare enough leads to.
 
-def _met(rows: DataFrame, key: str, node: str, columns: tuple[str, ...]) -> DataFrame:
-    """All rows of one key joined with each other, columns named _x and _p. They are dealt into
-    parts of about MEET, and each two parts meet in a place of their own."""
-    dealt = cells(rows, key, node).withColumn("_own", _cell(node))
+    A shingle's documents are dealt into parts of about MEET, and each two parts meet in a place of their own."""
+    dealt = cells(lists, "shingle", "node").withColumn("_own", _cell("node"))
     every = F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))
-    a = dealt.select(key, F.col("_own").alias("_i"), every.alias("_j"), *[F.col(c).alias(f"{c}_x") for c in columns])
-    b = dealt.select(key, every.alias("_i"), F.col("_own").alias("_j"), *[F.col(c).alias(f"{c}_p") for c in columns])
-    return a.join(b, [key, "_i", "_j"])
-
-
-def _within(open_: DataFrame, percent: int, flips: int) -> DataFrame:
-    """Pairs (x, p) of different components in one bucket of ``open_`` (bucket, rep, root, n, sketch), by sizes and sketches.
-
-    Buckets have BLOCK members at most, so a member is compared with no more than that."""
-    alike = _sizes_allow("n_x", "n_p", percent) & (_flips("sketch_x", "sketch_p") <= flips)
-    pairs = _met(open_, "bucket", "rep", ("rep", "root", "n", "sketch")).where((F.col("root_x") < F.col("root_p")) & alike)
-    return pairs.select(*_ordered("rep_x", "rep_p")).distinct()
+    a = dealt.select("shingle", F.col("_own").alias("_i"), every.alias("_j"), *[F.col(c).alias(f"{c}_x") for c in _END])
+    b = dealt.select("shingle", every.alias("_i"), F.col("_own").alias("_j"), *[F.col(c).alias(f"{c}_p") for c in _END])
+    pairs = a.join(b, ["shingle", "_i", "_j"]).where((F.col("root_x") < F.col("root_p")) & _possible(percent, flips))
+    return pairs.select(*_ordered("node_x", "node_p"), "root_x", "root_p", _flips("sketch_x", "sketch_p").alias("flips")).distinct()
 
 
-def _same_rows(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (x, p) between the classes of rows that have one id but different texts."""
+def _same_rows(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``links`` (x, p) and those between the classes of rows that have one id but different texts."""
     differ = " OR ".join(f"min({c}) <> max({c})" for c in ("hi", "lo"))
     ids = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr(differ).alias("differ")).where("differ").select("doc_id")
-    rows = signed.where("n > 0").join(common.small(common.settle(ids)), "doc_id").select("doc_id", "hi", "lo")
-    return rows.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select(F.col("doc_id").alias("x"), F.col("rep").alias("p"))
+    ids = common.settle(ids)
+    if ids.isEmpty():
+        return links
+    rows = signed.where("n > 0").join(common.small(ids), "doc_id").select("doc_id", "hi", "lo")
+    rows = rows.join(classes.select("hi", "lo", "rep"), ["hi", "lo"]).select(F.col("doc_id").alias("x"), F.col("rep").alias("p"))
+    return links.union(rows)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,49 +355,43 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, doc_id:
     one = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a class
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), one("n"), one("bands"), one("sketch"))
     classes = common.settle(classes)
-    sketches = classes.select("rep", "n", "sketch")
 
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     # The least member in one of four orders: near copies meet the same few pivots in all their buckets.
     salt = F.xxhash64(F.pmod("bucket", F.lit(4)))
     buckets = members.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(salt)).alias("low"), F.count("*").alias("c")).where("c > 1")
-    buckets = common.settle(buckets.select("bucket", F.col("low").bitwiseXOR(salt).alias("pivot"), "c"))
+    buckets = common.settle(buckets.select("bucket", F.col("low").bitwiseXOR(salt).alias("pivot")))
     hot = common.settle(attach_settled(members, "bucket", "rep", buckets))
+    sketches = classes.select("rep", "n", "sketch").join(common.small(common.settle(hot.select("rep").distinct())), "rep", "left_semi")
+    sketches = common.settle(sketches)
     star = hot.where("rep <> pivot").select(F.col("rep").alias("x"), F.col("pivot").alias("p")).distinct()
     of = lambda end: sketches.select(F.col("rep").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}"))
-    star = attach(star.join(of("x"), "x"), "p", "x", of("p"))
+    star = attach_settled(star.join(common.small(of("x")), "x"), "p", "x", of("p"))
     star = star.where(_sizes_allow("n_x", "n_p", percent) & (_flips("s_x", "s_p") <= flips))
-    star = common.settle(star.select(*_ordered("x", "p")).distinct())
-    roots = components(confirm(docs, star, percent, width).union(_same_rows(signed, classes)))
+    star = common.settle(star.select(*_ordered("x", "p")).distinct())  # of two orders' pivots each may be the other's member
+    roots = components(_same_rows(signed, classes, confirm(docs, star, percent, width)))
 
-    own = hot.join(roots, F.col("rep") == F.col("u"), "left").select("bucket", "c", "rep", F.coalesce("v", "rep").alias("root"))
-    open_ = common.settle(_mixed(common.settle(own), "bucket", "rep"))
+    own = hot.join(common.small(roots), F.col("rep") == F.col("u"), "left").select("bucket", "rep", F.coalesce("v", "rep").alias("root"))
+    open_ = common.settle(_mixed(common.settle(own), "bucket", "rep").select("rep", "root").distinct())
     if not open_.isEmpty():
-        sketched = lambda rows: rows.join(sketches, "rep")
-        found = _within(sketched(open_.where(F.col("c") <= BLOCK)), percent, flips)
-        wide = common.settle(open_.where(F.col("c") > BLOCK).select("rep", "root").distinct())
-        lists = None
-        if not wide.isEmpty():
-            lists = _lists(docs, sketched(wide).drop("n"), percent, width)
-            found = found.union(_central(lists, percent, flips))
-        tried = common.settle(found.distinct().join(star, ["x", "p"], "left_anti"))
+        lists = _lists(docs, open_.join(common.small(sketches.drop("n")), "rep"), percent, width)
+        tried = common.settle(_central(lists, percent, flips).join(common.small(star), ["x", "p"], "left_anti"))
         if not tried.isEmpty():
             roots = components(_union(roots, confirm(docs, tried, percent, width)))
-        if lists is not None:
             lists = common.settle(_mixed(_renamed(lists, roots), "shingle", "node"))
-            met = _meetings(lists, percent, flips).join(star.union(tried), ["x", "p"], "left_anti")
-            met = common.settle(met)
-            # One pair of two components may join them: the likeliest first, then what still crosses.
-            first = met.groupBy("root_x", "root_p").agg(F.min_by(F.struct("x", "p"), F.struct("flips", "x", "p")).alias("e"))
-            first = common.settle(first.select("e.x", "e.p"))
-            if not first.isEmpty():
-                roots = components(_union(roots, confirm(docs, first, percent, width)))
-                rest = common.settle(_crossing(met.select("x", "p").join(first, ["x", "p"], "left_anti"), roots))
-                if not rest.isEmpty():
-                    roots = components(_union(roots, confirm(docs, rest, percent, width)))
+        met = _meetings(lists, percent, flips).join(common.small(star.union(tried)), ["x", "p"], "left_anti")
+        met = common.settle(met)
+        # One pair of two components may join them: the likeliest first, then what still crosses.
+        first = met.groupBy("root_x", "root_p").agg(F.min_by(F.struct("x", "p"), F.struct("flips", "x", "p")).alias("e"))
+        first = common.settle(first.select("e.x", "e.p"))
+        if not first.isEmpty():
+            roots = components(_union(roots, confirm(docs, first, percent, width)))
+            rest = common.settle(_crossing(met.select("x", "p").join(first, ["x", "p"], "left_anti"), roots))
+            if not rest.isEmpty():
+                roots = components(_union(roots, confirm(docs, rest, percent, width)))
 
     # A row of a class of its own without links keeps its id; the others look theirs up.
-    named = classes.join(roots, F.col("rep") == F.col("u"), "left").where("rows > 1 OR v IS NOT NULL")
+    named = classes.join(common.small(roots), F.col("rep") == F.col("u"), "left").where("rows > 1 OR v IS NOT NULL")
     named = common.settle(named.select("hi", "lo", F.coalesce("v", "rep").alias("root")))
     out = attach_settled(signed.select("doc_id", "n", "hi", "lo"), ["hi", "lo"], "doc_id", named, "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("root")), F.col("doc_id")))

@@ -420,12 +420,10 @@ def test_one_group_holds_most_rows(spark):
     assert got == {k: 0 if k < 600 else k for k in range(900)}
 
 
-def test_large_buckets(spark, monkeypatch):
-    """Without the comparison of small buckets, lists of shared shingles find the same links."""
-    rows = [(k, t) for k, t in enumerate(random_texts(300, seed=21))]
-    want = brute_components(rows, 85)
-    for block in (1, 3, 64):
-        monkeypatch.setattr(neardup, "BLOCK", block)
-        monkeypatch.setattr(neardup, "MEET", 2)
-        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), percent=85).collect()}
-        assert got == want
+def test_hot_keys_are_dealt_into_small_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEET", 2)
+    monkeypatch.setattr(neardup.common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neardup.common.small, "__defaults__", (0,))
+    rows = [(k, t) for k, t in enumerate(random_texts(120, seed=21))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(spark, rows), percent=85).collect()}
+    assert got == brute_components(rows, 85)
