@@ -253,12 +253,20 @@ def _replayed(vocabulary):
 def lexicon(docs: DataFrame, vocabulary, pattern: str, text: str = "text") -> Lexicon:
     """The corpus's words with their ids: counted over all texts, replayed together in one task.
 
-    At most LEXICON words, the most frequent ones, of at most LONGEST bytes: so neither that
-    task nor the driver, which gets them, grows with the corpus. ``vocabulary`` is a broadcast.
+    Words that occur twice and have at most LONGEST bytes, the most frequent ones by whole levels
+    (sixteenths of a doubling of their counts), LEXICON of them at most: so neither that task nor
+    the driver, which gets them, grows with the corpus, and nothing is sorted. ``vocabulary``
+    is a broadcast.
     """
     counts = docs.select(text).mapInArrow(common.lean(_tally(pattern)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(LEXICON).select("word")
-    table = words.coalesce(1).mapInArrow(common.lean(_replayed(vocabulary)), "word string, ids array<int>").toArrow()
+    level = F.floor(16 * F.log2("n")).cast("int")
+    counts = common.settle(counts.where((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).withColumn("level", level))
+    least, room = 1 << 30, LEXICON
+    for row in sorted(counts.groupBy("level").count().collect(), reverse=True):
+        room -= row["count"]
+        least = row["level"] if room >= 0 else least
+    words = counts.where(F.col("level") >= least).coalesce(1).sortWithinPartitions(F.desc("n"), "word").select("word")
+    table = words.mapInArrow(common.lean(_replayed(vocabulary)), "word string, ids array<int>").toArrow()
     lists = table["ids"].combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)

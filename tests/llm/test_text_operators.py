@@ -339,6 +339,8 @@ def test_words_of_the_corpus(spark, monkeypatch):
     assert found.words.to_pylist() == [" two", " one", " three"]
     known = library()
     assert found.ids.tolist() == [i for w in found.words.to_pylist() for i in known.encode_ordinary(w)]
+    monkeypatch.setattr(byte_bpe, "LEXICON", 2)
+    assert byte_bpe.lexicon(docs(spark, rows), shared, tokenizers.PATTERN).words.to_pylist() == [" two", " one"]
     assert byte_bpe.lexicon(docs(spark, rows).where("false"), shared, tokenizers.PATTERN).counts.tolist() == []
 
 
