@@ -1,6 +1,8 @@
 """Byte-level BPE by corpus-level merge replay.
 
-1. One pass counts the words (matches of the split pattern) of all texts.
+1. One pass counts the words (matches of the split pattern) of all texts. The usual pattern is
+   matched by array operations on the classes of the code points, any other one by ``regex``;
+   words are ranges of the texts' own bytes, not Python strings.
 2. The distinct words of the corpus, the most frequent ones if they are more than LEXICON,
    are laid out as one linked list of byte symbols. An inverted index maps the rank of
    each adjacent pair to the positions where it stands. The ranks are replayed in order
@@ -17,9 +19,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, kernels
 
 #: Words of the broadcast table and the bytes of its longest word: under 50 MB, however large the corpus.
 LEXICON, LONGEST = 150_000, 64
 #: Text bytes handled at a time, words beyond the table that a task remembers, and characters from which a text is split lazily.
 SLICE_BYTES, CACHE_WORDS, LONG_TEXT = 8 << 20, 200_000, 1 << 20
+#: Text bytes whose words are counted at once, and those that are split at once.
+TALLY_BYTES, SPLIT_BYTES = 32 << 20, 1 << 20
+#: The pattern that is matched by classes of code points.
+BY_CLASS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = np.int64(1 << 40)
 
 
@@ -112,8 +118,9 @@ class Vocabulary:
             r = heapq.heappop(heap)
             parts = index.pop(r)
             at = parts[0] if len(parts) == 1 else np.concatenate(parts)
-            at = np.unique(at[rank[at] == r])
+            at = np.sort(at[rank[at] == r])
             if len(at) > 1:
+                at = at[np.concatenate([[True], at[1:] != at[:-1]])]  # a place may have been entered twice
                 chained = after[at[:-1]] == at[1:]
                 if chained.any():  # of overlapping pairs the leftmost, then every other one
                     turn = np.arange(len(at))
@@ -128,7 +135,7 @@ class Vocabulary:
             left = before[at]
             rank[left] = self.rank_of(token[left], token[at])
             rank[n] = _NONE
-            enter(np.unique(np.concatenate([at, left])))
+            enter(np.concatenate([at, left]))
         kept = np.concatenate([[0], np.cumsum(alive[:n])])
         return token[:n][alive[:n]], kept[stops] - kept[stops - lengths]
 
@@ -165,20 +172,102 @@ class Lexicon:
     counts: np.ndarray
 
 
-def splitter(pattern: str) -> Callable[[str], Iterable[str]]:
-    """The matches of ``pattern``: listed at once, or one by one in long texts."""
+@cache
+def _classes() -> np.ndarray:
+    """Class of each code point as ``regex`` has it: 1 letter, 2 number, 3 white space, 0 other."""
     import regex
 
-    compiled = regex.compile(pattern)
-    return lambda text: compiled.findall(text) if len(text) < LONG_TEXT else (m.group() for m in compiled.finditer(text))
+    table = np.zeros(0x110000, np.uint8)
+    points = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+    text = points.tobytes().decode("utf-32-le")
+    for k, kind in enumerate((r"\p{L}+", r"\p{N}+", r"\s+"), 1):
+        for m in regex.finditer(kind, text):
+            table[points[m.start() : m.end()]] = k
+    return table
 
 
-class _Places(dict):
-    """Number of each word; a new word gets the next one."""
+@cache
+def _doubtful() -> np.ndarray:
+    """Bytes in which white space may end."""
+    table = np.zeros(256, bool)
+    table[[chr(c).encode()[-1] for c in np.flatnonzero(_classes() == 3).tolist()]] = True
+    return table
+
+
+def _pieces(data: np.ndarray, limit: int) -> list[int]:
+    """Offsets that cut a text before white space after something else, where no word goes on."""
+    bounds, size = [0], limit
+    while len(data) - bounds[-1] > size:
+        part = data[bounds[-1] : bounds[-1] + size]
+        found = np.flatnonzero(kernels.SEPARATOR[part[1:]] & ~_doubtful()[part[:-1]])
+        if len(found):
+            bounds.append(bounds[-1] + int(found[-1]) + 1)
+        size = limit if len(found) else 2 * size
+    return [*bounds, len(data)]
 
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        return k
+
+def word_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Offsets at which the matches of BY_CLASS begin, which leave out nothing of the texts.
+
+    A word is a run of one class with the blank before it; white space before that is one
+    word, or two if its last character is no blank and something follows.
+    """
+    point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    n, lead = len(point), None
+    if n < len(data):
+        lead = np.flatnonzero(kernels.LEADS[data])
+        ends = np.searchsorted(lead, ends)
+    edge = np.zeros(n + 1, bool)
+    edge[ends] = True
+    inner = ~edge[1:n]  # whether a character and the next one are of one text
+    kind = _classes()[point]
+    space = kind == 3
+    start = np.ones(n, bool)
+    start[1:] = (kind[1:] != kind[:-1]) | ~inner
+    into = space[:-1] & ~space[1:] & inner
+    start[:-1] |= into
+    start[1:] &= ~(into & (point[:-1] == 32))
+    at = np.flatnonzero(start & (point == 39))
+    if len(at):
+        padded, last = np.append(point, np.zeros(3, np.uint32)), np.append(edge, [True, True])
+        one, two = padded[at + 1] * ~last[at + 1], padded[at + 2] * ~(last[at + 1] | last[at + 2])
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        longer = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        start[at[short | longer] + 1] = False
+        after = np.concatenate([at[short] + 2, at[longer] + 3])
+        start[after[after < n]] = True
+    at = np.flatnonzero(start)
+    return at if lead is None else lead[at]
+
+
+def _split_by_class(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    data, ends = common.utf8(texts)
+    for i, j in common.slices(ends, SPLIT_BYTES):
+        part, own = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+        if len(part) > SPLIT_BYTES:  # a long text
+            cuts = _pieces(part, SPLIT_BYTES)
+            starts = np.concatenate([a + word_starts(part[a:b], np.array([0, b - a])) for a, b in zip(cuts, cuts[1:], strict=False)])
+        else:
+            starts = word_starts(part, own)
+        offsets = np.append(starts, len(part)).astype(np.int32)
+        yield pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(part)), np.diff(np.searchsorted(starts, own))
+
+
+def splitter(pattern: str) -> Callable[[pa.Array], Iterator[tuple[pa.Array, np.ndarray]]]:
+    """The matches of ``pattern`` in a column of texts, some texts at a time: all words, and their number in each text."""
+    if pattern == BY_CLASS:
+        return _split_by_class
+    import regex
+
+    compiled = regex.compile(pattern)
+
+    def split(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for text in texts:
+            text = text.as_py() or ""
+            found = pa.array(compiled.findall(text) if len(text) < LONG_TEXT else (m.group() for m in compiled.finditer(text)), pa.string())
+            yield found, np.array([len(found)])
+
+    return split
 
 
 class Encoder:
@@ -186,55 +275,62 @@ class Encoder:
         self.vocabulary, self.split = vocabulary, splitter(pattern)
         self.base = lexicon
         self.ranks: dict[bytes, int] = {}
-        self.place = _Places(zip(lexicon.words.to_pylist(), range(len(lexicon.words)), strict=True))
+        self.place = lexicon.words
         self.ids, self.counts = lexicon.ids, lexicon.counts
         self.starts = np.cumsum(self.counts) - self.counts
 
-    def learn(self) -> None:
-        """Enter the ids of the words that have a number only."""
-        known = len(self.counts)
-        if len(self.place) == known:
-            return
+    def learn(self, new: pa.Array) -> None:
+        """Enter words that have no ids yet."""
         self.ranks = self.ranks or self.vocabulary.ranks()
-        new = list(self.place)[known:]
-        ids, counts = self.vocabulary.encode([w.encode() for w in new], self.ranks)
+        ids, counts = self.vocabulary.encode(new.cast(pa.binary()).to_pylist(), self.ranks)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
         self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        self.place = pa.concat_arrays([self.place, new])
 
     def forget(self) -> None:
-        n = len(self.base.words)
-        for word in list(self.place)[n:]:
-            del self.place[word]
-        self.ids, self.counts, self.starts = self.base.ids, self.base.counts, self.starts[:n]
+        self.place = self.base.words
+        self.ids, self.counts, self.starts = self.base.ids, self.base.counts, self.starts[: len(self.place)]
+
+    def numbers(self, words: pa.ChunkedArray) -> np.ndarray:
+        """Number of each word; new words get the next ones."""
+        known, found = len(self.place), pc.index_in(words, value_set=self.place)
+        k = pc.fill_null(found, -1).to_numpy().copy()
+        if found.null_count:
+            rest = words.filter(found.is_null())
+            new = rest.unique()
+            self.learn(new)
+            k[k < 0] = known + pc.index_in(rest, value_set=new).to_numpy()
+        return k
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: Sequence[str] | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the n + 1 offsets of each text's ids."""
         if len(self.place) > len(self.base.words) + CACHE_WORDS:
             self.forget()
-        number = self.place.__getitem__
-        parts = [np.fromiter(map(number, self.split(text)), np.int32) for text in texts]
-        self.learn()
-        k = np.concatenate([np.zeros(0, np.int32), *parts])
+        column = texts if isinstance(texts, pa.ChunkedArray) else pa.chunked_array([pa.array(texts, pa.string())])
+        parts = [part for chunk in column.chunks for part in self.split(chunk)]
+        k = self.numbers(pa.chunked_array([words for words, _ in parts], pa.string()))
         counts = self.counts[k]
         stops = np.concatenate([[0], np.cumsum(counts)])
         flat = self.ids[np.repeat(self.starts[k] - stops[:-1], counts) + np.arange(stops[-1])]
-        return flat, stops[np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)]
+        return flat, stops[np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(own for _, own in parts)]))])].astype(np.int64)
 
 
 def _tally(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, sums = splitter(pattern), Counter()
+        split, waiting, size = splitter(pattern), [], 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], ["word", "n"])
+            found = pa.chunked_array(waiting, pa.string()).value_counts()
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                if text.is_valid:
-                    sums.update(split(text.as_py()))
-                if len(sums) > CACHE_WORDS:
+            for words, _ in split(batch.column(0)):
+                waiting.append(words)
+                size += words.buffers()[2].size if words.buffers()[2] else 0
+                if size >= TALLY_BYTES:
                     yield rows()
-                    sums.clear()
+                    size = 0
         yield rows()
 
     return run
@@ -280,7 +376,7 @@ def _encode(state, pattern: str, at: int, drop: bool, decoded: bool):
         waiting, size = [], 0
 
         def encoded() -> Iterator[pa.RecordBatch]:
-            flat, bounds = own.encode([t or "" for part in waiting for t in part.column(at).to_pylist()])
+            flat, bounds = own.encode(pa.chunked_array([part.column(at) for part in waiting]))
             first = 0
             for part in waiting:
                 own_bounds = bounds[first : first + part.num_rows + 1]
